@@ -1,0 +1,98 @@
+"""Ids of a lower-casing word BPE, as the tokenizers library gives them, by way of
+a bounded memory of pre-tokens.
+
+The library itself encodes every pre-token; a pre-token met before is looked up.
+That holds because the file's pre-tokenizer splits before any merge. A text with a
+special string, or a character outside a plain range (where Unicode tables of
+library and Python could differ), is encoded whole by the library.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Callable
+
+import numpy as np
+
+#: Pre-tokens held at once, about 200 bytes each; beyond it the memory starts anew.
+MEMORY = 700_000
+#: The file's pre-token pattern ('s|'t|'re|'ve|'m|'ll|'d, letters, a digit, other
+#: signs) as Python's re writes it; the same on plain characters.
+PATTERN = r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+"
+#: Characters on which Python's and the library's normalisation agree.
+UNPLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u20ac]|<\|")
+
+_made: dict[str, Callable] = {}
+
+
+def word_ids(path: str) -> Callable[[list], list[bytes]]:
+    """texts -> for each its ids as little-endian unsigned 32-bit; null as empty."""
+    if path in _made:
+        return _made[path]
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    vocab = json.loads(tok.to_str())["model"]["vocab"]
+    ends = np.zeros(max(tok.get_vocab().values()) + 1, bool)
+    ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+    find = re.compile(PATTERN).findall
+    memory: dict[str, bytes] = {}
+
+    def learn(new: list[str]) -> None:
+        if len(memory) + len(new) > MEMORY:
+            memory.clear()
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            ids = np.array(tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ends[ids]) + 1  # every pre-token ends with one such piece
+            if len(cuts) != len(some):
+                for w in some:
+                    memory[w] = np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            raw, last = ids.tobytes(), 0
+            for w, c in zip(some, (4 * cuts).tolist()):
+                memory[w] = raw[last:c]
+                last = c
+
+    def one(text: str) -> bytes:
+        if UNPLAIN.search(text):
+            return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        words = find(text.lower())
+        try:
+            return b"".join(map(memory.__getitem__, words))
+        except KeyError:
+            seen = set(words)
+            new = list(seen - memory.keys())
+            if len(memory) + len(new) > MEMORY:
+                new = list(seen)  # learn() starts anew
+            learn(new)
+            return b"".join(map(memory.__getitem__, words)) if len(seen) <= MEMORY else b"".join(
+                np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words
+            )
+
+    def encode(texts: list) -> list[bytes]:
+        out, at = [], 0
+        while at < len(texts):
+            # learn the new words of some texts together: fewer, longer library calls
+            some, size = [], 0
+            while at < len(texts) and size < 4_000_000 and len(some) < 2000:
+                some.append(texts[at] or "")
+                size += len(some[-1])
+                at += 1
+            plain = [None if UNPLAIN.search(t) else find(t.lower()) for t in some]
+            new = set().union(*(w for w in plain if w)) - memory.keys()
+            if len(new) <= MEMORY // 2:
+                learn(list(new))
+            for t, words in zip(some, plain):
+                if words is None:
+                    out.append(one(t))
+                    continue
+                try:
+                    out.append(b"".join(map(memory.__getitem__, words)))
+                except KeyError:
+                    out.append(one(t))
+        return out
+
+    _made[path] = encode
+    return encode
