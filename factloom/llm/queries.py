@@ -7,32 +7,69 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import multiset_hash, packing, simhash, token_counts
+from factloom.llm import cross_entropy, line_dedup, metric_tree, mixing, multiset_hash, packing, quality, simhash, token_counts, training_order
 from factloom.llm.tables import table
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = training_order.new_folder(spark, "training-order")
+    return training_order.materialise(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, folder)
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"), k=3)
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op7_quality_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.where(scored["tail_probability"] >= quality.KEEP)
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+QUERIES = (
+    op1_training_order,
+    op2_line_dedup,
+    op3_token_counts,
+    op4_mix_sources,
+    op5_simhash_components,
+    op6_exact_top_k,
+    op7_quality_selection,
+    op8_document_fingerprints,
+    op9_cross_entropy_difference,
+    op10_pack_sequences,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f
-        for f in (op3_token_counts, op5_simhash_components, op8_document_fingerprints, op10_pack_sequences)
-    }
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mix_sources": mixing.query_sql(), "op6_exact_top_k": metric_tree.ORACLE_SQL}
