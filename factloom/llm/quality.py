@@ -35,6 +35,8 @@ SIGMA, LIFT = 5.0, 3.0
 KEEP = 0.5
 STEPS, RATE, RIDGE = 300, 0.2, 1e-4
 MEMORY = 500_000
+#: Entries of the sample's features that are counted at once.
+PART = 1_000_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 _shapes = (
@@ -91,7 +93,11 @@ def telling(idx: np.ndarray, grade: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Features whose share of documents differs between grades beyond chance: the
     difference of a grade's share and the others' is SIGMA standard errors or more,
     and one is LIFT times the other."""
-    seen = np.stack([np.bincount(idx[grade == g], minlength=DIM) for g in range(3)]).astype(float)
+    seen = np.zeros((3, DIM))
+    for at in range(0, len(idx), PART):  # bincount makes wide copies: in parts
+        part, of = idx[at : at + PART], grade[at : at + PART]
+        for g in range(3):
+            seen[g] += np.bincount(part[of == g], minlength=DIM)
     out = np.zeros(DIM, bool)
     for g in range(3):
         n, m = docs[g], docs.sum() - docs[g]
@@ -104,24 +110,24 @@ def telling(idx: np.ndarray, grade: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out & (seen.sum(0) >= min(MIN_DOCS, docs.sum()))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, the two thresholds) by Adam on the whole sample.
+def fit(idx: np.ndarray, size: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, the two thresholds) by Adam on the whole sample: the features of all
+    its documents one after the other (int32), how many each has, and its grade.
 
     A sample without two grades gives zero weights and thresholds that select all."""
-    w = np.zeros(DIM)
+    w, n = np.zeros(DIM), len(grades)
     if len(set(grades.tolist())) < 2:
         return w, np.array([-20.0, -10.0])
-    size = np.fromiter(map(len, rows), np.int64, len(rows))
-    idx, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
-    live = telling(idx, grades[doc], np.bincount(grades, minlength=3))[idx]
-    idx, doc = idx[live], doc[live]
-    used, at = np.unique(idx, return_inverse=True)
+    live = telling(idx, np.repeat(grades.astype(np.int8), size), np.bincount(grades, minlength=3))[idx]
+    doc = np.repeat(np.arange(n, dtype=np.int32), size)[live]
+    used, at = np.unique(idx[live], return_inverse=True)
+    at = at.astype(np.int32)
     u, t0, gap = np.zeros(len(used)), -1.0, np.log(1.0)
     x = np.r_[u, t0, gap]
     m, v = np.zeros(len(x)), np.zeros(len(x))
     for step in range(1, STEPS + 1):
         u, t0, t1 = x[:-2], x[-2], x[-2] + np.exp(x[-1])
-        z = np.bincount(doc, u[at], len(rows))
+        z = np.bincount(doc, u[at], n)
         c0, c1 = _sigmoid(t0 - z), _sigmoid(t1 - z)
         p = np.select([grades == 0, grades == 1], [c0, c1 - c0], 1 - c1)
         p = np.maximum(p, 1e-9)
@@ -130,7 +136,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, np.ndar
         g1 = np.select([grades == 1, grades == 2], [d1, -d1], 0.0) / p
         # the loss is -log p: raising z lowers both cumulative probabilities
         gz = g0 + g1
-        grad = np.r_[np.bincount(at, gz[doc], len(used)) / len(rows) + RIDGE * u, -(g0 + g1).mean(), -(g1 * np.exp(x[-1])).mean()]
+        grad = np.r_[np.bincount(at, gz[doc], len(used)) / n + RIDGE * u, -(g0 + g1).mean(), -(g1 * np.exp(x[-1])).mean()]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         x = x - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -151,10 +157,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([features(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["grade", "f"])
 
-    rows = docs.join(some, "doc_id").select("text", "grade").mapInArrow(run, "grade int, f binary").toPandas()
-    order = np.argsort([xxhash.xxh64_intdigest(f) for f in rows["f"]], kind="stable")  # the same sum whatever the order of rows
-    rows = rows.iloc[order]
-    return fit([np.frombuffer(f, np.int32) for f in rows["f"]], rows["grade"].to_numpy(np.int64))
+    rows = docs.join(some, "doc_id").select("text", "grade").mapInArrow(run, "grade int, f binary").toArrow()
+    order = np.argsort([xxhash.xxh64_intdigest(f.as_buffer()) for f in rows["f"]], kind="stable")  # the same sum whatever the order of rows
+    rows = rows.take(pa.array(order)).combine_chunks()
+    if not len(rows):
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    told, held = rows["f"].chunk(0), rows["grade"].to_numpy().astype(np.int64)
+    ends = np.frombuffer(told.buffers()[1], np.int32, len(rows) + 1, 4 * told.offset).astype(np.int64)
+    idx = np.frombuffer(told.buffers()[2], np.int32, int(ends[-1] - ends[0]) // 4, int(ends[0]))
+    return fit(idx, np.diff(ends) // 4, held)
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
