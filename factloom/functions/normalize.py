@@ -139,7 +139,7 @@ def message_key(direction: Column, occurred_at: Column, sender: Column, recipien
 
 def either_timestamp(c: Column) -> Column:
     """A time from seconds, milliseconds (over 1e11) or ISO text; null otherwise."""
-    n = F.expr(f"try_cast({c._jc.toString()} as double)") if False else c.try_cast("double")
+    n = c.try_cast("double")
     seconds = F.when(F.abs(n) > 1e11, n / 1000).otherwise(n)
     return F.coalesce(F.when(n.isNotNull(), F.timestamp_seconds(seconds)), F.try_to_timestamp(c.cast("string")))
 

@@ -15,7 +15,7 @@ def excerpt(c: Column, needle: Column | str, around: int = 60) -> Column:
     """The first hit of needle (any case) with `around` characters on both sides; null
     without a hit."""
     needle = F.lit(needle) if isinstance(needle, str) else needle
-    at = F.locate_(c, needle) if hasattr(F, "locate_") else F.position(F.lower(needle), F.lower(c))
+    at = F.position(F.lower(needle), F.lower(c))
     start = F.greatest(at - around, F.lit(1))
     length = at - start + F.char_length(needle) + around
     return F.when(at > 0, c.substr(start, length))

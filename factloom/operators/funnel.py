@@ -34,7 +34,7 @@ def stage_entries(history: DataFrame, by: list[str], observed: str, changed: str
 
 def is_creation(first: Column, changed: Column, created: Column) -> Column:
     """A card that began in its stage: no stage before, dated within the slack of its creation."""
-    apart = F.abs(F.unix_micros(changed) - F.unix_micros(created))
+    apart = F.abs(F.unix_micros(changed.cast("timestamp")) - F.unix_micros(created.cast("timestamp")))
     return first & F.coalesce(apart <= CREATION_SLACK * 1_000_000, F.lit(False))
 
 
