@@ -108,7 +108,7 @@ def leg_excluded(tagged: DataFrame) -> DataFrame:
 
 
 def leg_arrivals(events: DataFrame, population: DataFrame) -> DataFrame:
-    """(pk, from_at, to_at, to_counts, to_before): the population with its `to` events. A
+    """(pk, from_at, reached, to_at): the population with its `to` events. A
     `to` counts on or after the UTC day of `from`, or if either is undated. One equi-join;
     a person's events are folded before it."""
     day = lambda c: F.to_date(c)
