@@ -305,87 +305,123 @@ def near_components(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_co
 # --- near copies at a shingle similarity ------------------------------------
 
 K, SIMILAR = 5, 0.8
-#: 64-bit words of the word-level and of the shingle-level fingerprint.
-WORDS, SHINGLES = 8, 8
-#: Groups of dimensions (two-bit segments) of the word-level embedding; each is a grid.
-GROUPS, DIMS = 20, 12
-#: The estimate from SHINGLES * 64 bits has a standard error of about 0.035 at 0.8;
-#: pairs are taken from this much below.
-MARGIN = 0.015
-
-
-def spread(h: np.ndarray, n: int) -> np.ndarray:
-    """n 64-bit words from each hash."""
-    with np.errstate(over="ignore"):
-        x = h[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def wide_majority(h: np.ndarray, n: int) -> np.ndarray:
-    """The n * 64 bits that are set in over half of the spread hashes, as bytes."""
-    total = np.zeros(64 * n, np.int64)
-    for at in range(0, len(h), 50_000):
-        part = h[at : at + 50_000]
-        bits = np.unpackbits(spread(part, n).view(np.uint8), axis=1)
-        whole = len(bits) // 255 * 255
-        total += bits[:whole].reshape(-1, 255, 64 * n).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.uint8)
-    return np.packbits(2 * total > len(h))
-
-
-def wide_fingerprint(text: str | None, k: int = K) -> bytes:
-    """Word-level and shingle-level bits, over distinct words and distinct k-word
-    shingles; zeros without words."""
-    words = set((text or "").encode().lower().split())
-    if not words:
-        return bytes(8 * (WORDS + SHINGLES))
-    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words, repeat(SEED))), ">u8").astype(np.uint64)
-    s = np.unique(np.frombuffer(shingle_hashes(text, k), ">u8").astype(np.uint64))
-    return wide_majority(h, WORDS).tobytes() + wide_majority(s, SHINGLES).tobytes()
+#: Documents whose shingles are counted to put common ones last, and the common ones kept.
+SAMPLE, COMMON = 4000, 200_000
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct shingle hashes, ascending."""
+    return np.unique(np.frombuffer(shingle_hashes(text, k), ">u8").astype(np.int64))
+
+
+def set_id(s: np.ndarray) -> int:
+    """A hash of the whole set; equal sets have equal ids."""
+    return int.from_bytes(xxhash.xxh64_digest(s.tobytes(), SEED), "big", signed=True)
 
 
-def most_bits(similar: float) -> int:
-    """Differing bits expected of two shingle sets with this Jaccard similarity."""
-    return int(64 * SHINGLES * np.arccos(2 * similar / (1 + similar)) / np.pi)
+def least_shared(n: int, similar: float) -> int:
+    """Members that a set of n shares at least with any set at this similarity."""
+    return int(np.ceil(similar * n - 1e-9))
+
+
+def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """Shingles seen in three or more of some documents, commonest last. They decide
+    the order of members alone; any order gives the same groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                some = [shingle_set(t, k) for t in batch.column(0).slice(at, 200).to_pylist()]
+                key, n = np.unique(np.concatenate(some), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    some = docs.select("text").sample(min(1.0, SAMPLE / max(1, docs.count())), seed=SEED)
+    told = some.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 3")
+    return told.orderBy(F.desc("n"), "key").limit(COMMON).toPandas()["key"].to_numpy(np.int64)[::-1]
 
 
 def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: int = RUN) -> DataFrame:
     """doc_id, component_id per row: documents whose sets of k-word shingles have a
-    Jaccard similarity of about `similar` or more, and groups of these.
-
-    A radius of 3 on 64 bits finds only a small part of such pairs, so here the
-    fingerprints are wider. Candidates are points of the word-level embedding that
-    share a whole cell of one of GROUPS grids (a pair at 0.8 does with a probability
-    of about 0.98, a closer one surely); they are verified on the shingle-level bits,
-    from which the similarity is estimated. Edge cases are those of near_components.
+    Jaccard similarity of `similar` or more, and groups of these.
+
+    Candidates are complete: sets of this similarity share so many members that, in any
+    one order of all shingles, they share one of the first n - least_shared(n) + 1 of
+    each. The order puts common shingles last. Each pair that ties two documents is
+    verified on their whole sets. So that a crowd of near copies does not become all its
+    pairs, holders of a shingle are first compared with its least and its greatest holder,
+    and other pairs only if they are in no common group by then. Up to `limit` keys are
+    broadcast. Edge cases are those of near_components.
     """
-    most = most_bits(similar - MARGIN)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    common = common_shingles(d, k)
+    order = np.argsort(common)
+    sent = d.sparkSession.sparkContext.broadcast((common[order], order + 1))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = sent.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, k) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+            for at in range(0, batch.num_rows, 500):
+                ids, n, keys = [], [], []
+                for t in batch.column(1).slice(at, 500).to_pylist():
+                    s = shingle_set(t, k)
+                    ids.append(set_id(s))
+                    n.append(len(s))
+                    first = len(s) - least_shared(len(s), similar) + 1
+                    if len(known) and len(s):
+                        i = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        s = s[np.argsort(np.where(known[i] == s, rank[i], 0), kind="stable")]
+                    keys.append(s[:first])
+                offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(ids, pa.int64()), pa.array(n, pa.int32()), lists], names=["doc_id", "id", "n", "keys"])
+
+    base = cut(d.mapInArrow(prints, "doc_id long, id long, n int, keys array<long>"))
+    rows = base.select("id", "n", F.explode("keys").alias("key"))
+    shared = cut(rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
+    held = cut(rows.join(hinted(shared, limit), "key").select("key", "id", "n", "low", "high").distinct())
+    star = cut(
+        held.select("id", F.explode(F.array("low", "high")).alias("end")).where("id <> end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
+    )
+    links = _similar_sets(star, base, d, k, similar)
+    group = connected_components(links)
+    rooted = held.join(hinted(group.select(F.col("node").alias("id"), "root")), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
+    rooted = cut(rooted.join(hinted(cut(several)), "key"))
+    x, y = rooted.alias("x"), rooted.alias("y")
+    fits = F.least("x.n", "y.n") >= similar * F.greatest("x.n", "y.n") - 1e-9
+    rest = x.join(y, "key").where((F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & fits)
+    rest = cut(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        group = connected_components(links.unionByName(_similar_sets(rest, base, d, k, similar)))
+    distinct = base.groupBy("id").agg(F.min("doc_id").alias("least_id"))
+    rooted = cut(distinct.join(group.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "least_id", F.coalesce("root", "id").alias("root")))
+    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classes = rooted.join(ids, "root").select("id", "component_id")
+    return base.select("doc_id", "id").join(classes, "id").select("doc_id", "component_id")
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _similar_sets(pairs: DataFrame, base: DataFrame, docs: DataFrame, k: int, similar: float) -> DataFrame:
+    """Of the pairs (a, b of set ids) those whose whole sets have the similarity. Sets
+    are made again from the documents of these alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                ids = batch.column(0).slice(at, 5000).to_numpy()
-                raw = np.frombuffer(b"".join(batch.column(1).slice(at, 5000).to_pylist()), np.uint8).reshape(len(ids), -1)
-                bits = np.unpackbits(raw[:, : 8 * WORDS], axis=1)[:, : GROUPS * DIMS * 2]
-                counts = bits.reshape(len(ids), GROUPS, DIMS, 2).sum(3, dtype=np.int64)
-                cell = counts @ (np.int64(1) << np.arange(0, 2 * DIMS, 2, dtype=np.int64)) + (np.arange(GROUPS, dtype=np.int64) << 2 * DIMS)
-                n = cell.size
-                fps = pa.array([x for x in (r[8 * WORDS :].tobytes() for r in raw) for _ in range(GROUPS)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int8)), pa.array(np.repeat(ids, GROUPS)), fps], names=["cell", "part", "role", "id", "fp"])
-
-    base = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(prints, "doc_id long, fp binary"))
-    distinct = cut(base.groupBy("fp").agg(F.min("doc_id").alias("least_id")).withColumn("id", F.monotonically_increasing_id()))
-    points = distinct.select("id", "fp").mapInArrow(cells, "cell long, part int, role byte, id long, fp binary")
-    tied = connected_components(grid_links(points, most, SHINGLES, limit))
-    rooted = distinct.join(tied.select(F.col("node").alias("id"), "root"), "id", "left").select("fp", "least_id", F.coalesce("root", "id").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(ids, "root").select("fp", "component_id")
-    return base.join(classes, "fp").select("doc_id", "component_id")
+            for at in range(0, batch.num_rows, 200):
+                sets = [shingle_set(t, k) for t in batch.column(0).slice(at, 200).to_pylist()]
+                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), lists], names=["id", "members"])
+
+    sizes = base.select("id", "n").distinct()
+    sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
+    sized = cut(sized.where(F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b") - 1e-9))
+    ends = hinted(cut(sized.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    at = hinted(cut(base.join(ends, "id").groupBy("id").agg(F.min("doc_id").alias("__at")).select("__at").distinct()))
+    there = docs.join(at, docs["doc_id"].eqNullSafe(at["__at"]), "left_semi").select("text")
+    sets = cut(there.mapInArrow(run, "id long, members array<long>").join(ends, "id", "left_semi").dropDuplicates(["id"]))
+    both = sized.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return cut(both.where(common >= similar * (F.col("n_a") + F.col("n_b") - common) - 1e-9).select("a", "b"))
 
 
 def without_near_copies(docs: DataFrame, k: int = K, similar: float = SIMILAR) -> DataFrame:

@@ -219,6 +219,23 @@ def test_near_groups_against_all_pairs(spark):
     assert all(group[d] // 2 == d // 2 for d in group)  # nothing else is tied
 
 
+def test_near_groups_are_exact_around_the_bound(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(150):
+        n = int(rng.integers(60, 300))
+        t = [f"v{int(x)}" for x in rng.integers(0, 3000, n)]
+        m, at = int(n * rng.uniform(0.08, 0.15)), int(rng.integers(0, n // 2))
+        new = [f"z{int(x)}" for x in rng.integers(0, 3000, 2 * m)]
+        u = [t[:at] + new[:m] + t[at + m :], t + new, [new[0] if x % 55 == 0 else w for x, w in enumerate(t)]][i % 3]
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(u))]
+    group = {r.doc_id: r.component_id for r in simhash.near_groups(frame(spark, rows)).collect()}
+    near = [jaccard(rows[2 * i][1], rows[2 * i + 1][1]) for i in range(150)]
+    assert all(sum(lo <= j < hi for j in near) > 15 for lo, hi in ((0.75, 0.8), (0.8, 0.85)))
+    assert [group[2 * i + 1] == 2 * i for i in range(150)] == [j >= 0.8 for j in near]
+    assert all(group[2 * i] == 2 * i for i in range(150))
+
+
 def test_without_near_copies(spark):
     rows = odd_rows() + [(500 + i, "one and the same text of a number of words " * 3) for i in range(40)] + [(3, "dup id")]
     df = frame(spark, rows)
