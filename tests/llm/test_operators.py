@@ -148,6 +148,21 @@ def test_line_dedup_bits_are_simhash(spark):
     assert got == {i: sim64(normal(t)) for i, t in enumerate(ws)}
 
 
+def test_line_dedup_of_repeated_words_and_spread_edits(spark):
+    lines = ["0 " * 40 + "17 23 95", "0 " * 40 + "41 68 52", "win " * 30 + "alpha beta", "win " * 30 + "gamma delta"]
+    rng = np.random.default_rng(8)
+    for i in range(6):
+        w = [f"{int(x)}word" for x in rng.integers(0, 90, 8)] + ["common"] * 40
+        rng.shuffle(w)
+        line = " ".join(w)
+        at = set(range(5, len(line), 17))  # an edit in each piece of 20 characters
+        lines += [line, "".join("q" if j in at and c == "m" else c for j, c in enumerate(line))]
+    rows = [(i, line) for i, line in enumerate(lines)]
+    want = plain_line_dedup(rows)
+    assert want[1, ""] == want[3, ""] == 1
+    assert Counter((r.doc_id, r.text) for r in line_dedup.deduplicated(frame(spark, rows)).collect()) == want
+
+
 # 4 ---------------------------------------------------------------------------
 
 
