@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from factloom.llm.word_ids import word_ids
+from factloom.llm.array_bpe import word_tokenizer
+from factloom.llm.tables import portions
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END_ID = 2
@@ -162,8 +163,8 @@ def pack(
     sequence_id is unique over all partitions and the same if a task runs again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(vocabulary)
-        packer, end = Packer(window), np.array([end_id], "<u4").tobytes()
+        encode = word_tokenizer(vocabulary).encode
+        packer, end = Packer(window), np.array([end_id], "<u4")
         base = TaskContext.get().partitionId() << 40
         held: dict[int, list] = {}  # number of the document -> id, ids, where these start, all, not yet out
         rows: list[tuple] = []
@@ -173,7 +174,7 @@ def pack(
             for k, start, length, seq, at in pieces:
                 entry = held[k]
                 doc, ids, first, n, left = entry
-                crc = zlib.crc32(memoryview(ids)[4 * (start - first) : 4 * (start - first + length)])
+                crc = zlib.crc32(ids[start - first : start - first + length])
                 rows.append((doc, start, length, crc, n, base + seq, at))
                 entry[4] = left - length
                 if not entry[4]:
@@ -185,19 +186,19 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in PIECES.split(", ")])
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts)):
-                ids += end
-                n = len(ids) // 4
-                held[key] = [doc, ids, 0, n, n]
-                put(packer.add(key, n))
-                if key in held:  # only what waits in an open window stays
-                    waits = held[key][4]
-                    held[key][1:3] = [ids[-4 * waits :], n - waits]
-                if packer.waiting > OPEN:
-                    put(packer.pour())
-                key += 1
-            yield flush()
+            for part in portions(batch, 1):
+                for doc, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
+                    ids = np.concatenate([ids, end], dtype="<u4", casting="unsafe")
+                    n = len(ids)
+                    held[key] = [doc, ids, 0, n, n]
+                    put(packer.add(key, n))
+                    if key in held:  # only what waits in an open window stays
+                        waits = held[key][4]
+                        held[key][1:3] = [ids[n - waits :].copy(), n - waits]
+                    if packer.waiting > OPEN:
+                        put(packer.pour())
+                    key += 1
+                yield flush()
         put(packer.finish())
         yield flush()
 
