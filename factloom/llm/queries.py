@@ -13,7 +13,7 @@ from factloom.llm.tables import table
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = training_order.new_folder(spark, "training-order")
-    return training_order.materialise(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, folder)
+    return training_order.materialise(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,18 +13,19 @@ doc_id (int64), start, length (int32) and SEQUENCE ids (uint16, padded with PAD)
 reader can start at any slot, and a shard is written under another name and then
 renamed, so a task that runs again leaves whole files.
 
-Two passes tokenise: the first gives each partition's number of sequences, from
-which numbers follow; the second carries the ids, unpadded, through one shuffle by
-shard. A third copy of the ids on disk would cost more than tokenising again.
+Two passes tokenise: the first counts each partition's sequences, from which numbers
+follow; the second carries the ids, unpadded, through one shuffle by ranges of shards
+(known beforehand, so nothing is sampled). A copy of the ids on disk would cost more
+than tokenising again. The shards are listed in a table beside them, and the rows
+returned are decoded from the files.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.array_bpe import byte_tokenizer, ragged, within
+from factloom.llm.tables import portions
 from factloom.session import shared_dir
 
 SEQUENCE = 256
@@ -40,22 +43,9 @@ SHARD = 4096
 PAD = 0xFFFF
 ROUNDS = 6
 HEAD = np.dtype([("doc_id", "<i8"), ("start", "<i4"), ("length", "<i4")])
+#: Closes a document; free in the vocabulary.
 END = 50256
 
-_made: dict[str, Callable] = {}
-
-
-def encoder(path: str, pattern: str) -> Callable[[list], list[np.ndarray]]:
-    """texts -> ids (uint16) with the end id; null as empty, special strings as text."""
-    if path not in _made:
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _made[path] = lambda texts: [np.array([*encode(t or ""), END], np.uint16) for t in texts]
-    return _made[path]
-
 
 class Feistel:
     """A permutation of 0 .. n-1 under a key; numbers as numpy arrays."""
@@ -91,8 +81,13 @@ class Feistel:
         return self._walk(slots, True)
 
 
+def record(sequence: int = SEQUENCE) -> np.dtype:
+    """A null doc_id is 0, with -1 - start for the start."""
+    return np.dtype([*HEAD.descr, ("ids", "<u2", (sequence,))])
+
+
 def stride(sequence: int = SEQUENCE) -> int:
-    return HEAD.itemsize + 2 * sequence
+    return record(sequence).itemsize
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -103,28 +98,33 @@ def shard_name(folder: str, shard: int) -> str:
     return f"{folder.rstrip('/')}/shard-{shard:08d}.bin"
 
 
-def read_slots(folder: str, first: int, count: int, sequence: int = SEQUENCE, per_shard: int = SHARD) -> Iterator[tuple[int, int, int, np.ndarray]]:
+def _records(folder: str, shard: int, at: int, n: int, sequence: int) -> np.ndarray:
+    system, path = _open(shard_name(folder, shard))
+    with system.open_input_file(path) as f:
+        return np.frombuffer(f.read_at(n * stride(sequence), at * stride(sequence)), record(sequence))
+
+
+def _head(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which doc_ids are null, starts) of records."""
+    none = r["start"] < 0
+    return none, np.where(none, -1 - r["start"], r["start"])
+
+
+def read_slots(folder: str, first: int, count: int, sequence: int = SEQUENCE, per_shard: int = SHARD) -> Iterator[tuple[int | None, int, int, np.ndarray]]:
     """(doc_id, start, length, ids) of count slots from the first on; only the byte
     ranges that hold them are read."""
-    size = stride(sequence)
     slot, last = first, first + count
     while slot < last:
         shard, at = divmod(slot, per_shard)
-        n = min(last - slot, per_shard - at)
-        system, path = _open(shard_name(folder, shard))
-        with system.open_input_file(path) as f:
-            raw = f.read_at(n * size, at * size)
-        for i in range(n):
-            head = np.frombuffer(raw, HEAD, 1, i * size)[0]
-            ids = np.frombuffer(raw, "<u2", sequence, i * size + HEAD.itemsize)
-            yield int(head["doc_id"]), int(head["start"]), int(head["length"]), ids[: head["length"]]
-        slot += n
+        some = _records(folder, shard, at, min(last - slot, per_shard - at), sequence)
+        for r, none, start in zip(some, *_head(some)):
+            yield None if none else int(r["doc_id"]), int(start), int(r["length"]), r["ids"][: r["length"]]
+        slot += len(some)
 
 
 def materialise(
     docs: DataFrame,
     vocabulary: str,
-    pattern: str,
     folder: str,
     key: int = 1,
     sequence: int = SEQUENCE,
@@ -132,90 +132,121 @@ def materialise(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Writes the shards and returns, read back from them, one row per sequence: slot,
-    shard, doc_id, start, length, ids_crc32 (of the ids as uint16).
+    """Writes the shards, and returns one row per sequence as they hold it: slot, shard,
+    doc_id, start, length, ids_crc32 (of the ids as uint16). All is written when this
+    returns; actions on the rows only read. vocabulary: path of a byte-level tokenizers
+    file; special strings in texts are ordinary text.
 
-    A null or empty text is one sequence of the end id; a null doc_id is written as
-    -1. Equal rows have sequences of their own. An empty table writes nothing and
+    A null or empty text is one sequence of the end id; a null doc_id stays null.
+    Equal rows have sequences of their own. An empty table writes nothing and
     gives no rows. Numbers follow the partitions of docs, which must read the same
     rows each time, as files do: a partition whose count differs in the second pass
     raises an error. Other columns are not read.
     """
     spark = docs.sparkSession
-    d = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(-1)).alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    out = "slot long, shard long, doc_id long, start int, length int, ids_crc32 long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, n = encoder(vocabulary, pattern), 0
+        tok, n = byte_tokenizer(vocabulary, special=False), 0
         for batch in batches:
-            n += sum(-(-len(ids) // sequence) for ids in encode(batch.column(1).to_pylist()))
+            for part in portions(batch, 1):
+                # with the end id
+                n += int((-(-(tok.counts([t or "" for t in part.column(1).to_pylist()]) + 1) // sequence)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
-    told = sorted((r["part"], r["n"]) for r in d.mapInArrow(count, "part int, n long").collect())
-    first, total = {}, 0
-    for part, n in told:
-        first[part] = (total, n)
-        total += n
-    out = "slot long, shard long, doc_id long, start int, length int, ids_crc32 long"
+    told = d.mapInArrow(count, "part int, n long").toArrow()  # two numbers a partition
+    counts = np.zeros(max([-1, *told["part"].to_pylist()]) + 1, np.int64)
+    counts[told["part"]] = told["n"]
+    total = int(counts.sum())
     if not total:
         return spark.createDataFrame([], out)
+    sent = spark.sparkContext.broadcast(np.r_[0, np.cumsum(counts)])
     order = Feistel(total, key)
+    n_shards = -(-total // per_shard)
+    tasks = int(min(n_shards, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern)
-        at, n = first[TaskContext.get().partitionId()]
-        end = at + n
+        tok = byte_tokenizer(vocabulary, special=False)
+        at, end = sent.value[TaskContext.get().partitionId() :][:2]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                some = batch.slice(lo, 2000)
-                ids, starts, parts = [], [], []
-                for doc, seq in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
-                    for s in range(0, len(seq), sequence):
-                        ids.append(doc)
-                        starts.append(s)
-                        parts.append(seq[s : s + sequence].tobytes())
-                slots = order.slot(np.arange(at, at + len(ids)))
-                at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // per_shard), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], names=["slot", "shard", "doc_id", "start", "ids"])
+            for part in portions(batch, 1):
+                each = tok.encode([t or "" for t in part.column(1).to_pylist()])
+                size = np.fromiter(map(len, each), np.int64, len(each)) + 1
+                flat = np.full(int(size.sum()), END, "<u2")
+                ends = np.cumsum(size)
+                flat[np.delete(np.arange(len(flat)), ends - 1)] = np.concatenate(each)
+                pieces = -(-size // sequence)
+                starts = within(pieces) * sequence
+                first = np.repeat(ends - size, pieces) + starts
+                slots = order.slot(np.arange(at, at + len(first)))
+                at += len(first)
+                ids = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((2 * np.r_[first, len(flat)]).astype("<i4")), pa.py_buffer(flat)])
+                shards = slots // per_shard
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slots), pa.array((shards * tasks // n_shards).astype(np.int32)), part.column(0).take(pa.array(np.repeat(np.arange(len(each)), pieces))), pa.array(starts.astype(np.int32)), ids],
+                    names=["slot", "task", "doc_id", "start", "ids"],
+                )
         if at != end:
             raise RuntimeError("the input changed between the two passes")
 
-    size = stride(sequence)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by slot; a task has whole shards."""
-        shard, buffer = None, bytearray()
+        held = np.zeros(0, record(sequence))
+        shard, done, full = -1, [], []
 
         def put() -> None:
-            system, path = _open(shard_name(folder, shard))
-            part = f"{path}.{uuid.uuid4().hex}.tmp"
-            with system.open_output_stream(part) as f:
-                f.write(memoryview(buffer))
-            system.move(part, path)
+            if shard >= 0:
+                system, path = _open(shard_name(folder, shard))
+                part = f"{path}.{uuid.uuid4().hex}.tmp"
+                with system.open_output_stream(part) as f:
+                    f.write(memoryview(held.view(np.uint8)))
+                system.move(part, path)
+                done.append(shard)
+                full.append(len(held))
 
         for batch in batches:
-            slots, shards = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            crcs, lengths = [], []
-            for slot, mine, doc, start, ids in zip(slots, shards, *(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                if mine != shard:
-                    if shard is not None:
-                        put()
-                    shard, buffer = mine, bytearray()
-                if len(buffer) != slot % per_shard * size:
-                    raise RuntimeError(f"slot {slot} is not where its stride puts it")
-                n = len(ids) // 2
-                buffer += np.array([(doc, start, n)], HEAD).tobytes() + ids + np.full(sequence - n, PAD, "<u2").tobytes()
-                crcs.append(zlib.crc32(ids))
-                lengths.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(lengths, pa.int32()), pa.array(crcs, pa.int64())], names=["slot", "shard", "doc_id", "start", "length", "ids_crc32"])
-        if shard is not None:
-            put()
+            slots = batch.column(0).to_numpy()
+            rows = np.zeros(len(slots), record(sequence))
+            rows["ids"] = PAD
+            ids = batch.column(4)
+            at = np.frombuffer(ids.buffers()[1], "<i4", len(ids) + 1, 4 * ids.offset) // 2
+            n = np.diff(at)
+            rows["ids"][np.repeat(np.arange(len(n)), n), within(n)] = np.frombuffer(ids.buffers()[2], "<u2")[ragged(at[:-1], n)]
+            none = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            start = batch.column(3).to_numpy()
+            rows["doc_id"], rows["length"] = batch.column(2).fill_null(0).to_numpy(), n
+            rows["start"] = np.where(none, -1 - start, start)
+            lo = 0
+            while lo < len(slots):
+                if slots[lo] // per_shard != shard:
+                    put()
+                    shard, held = int(slots[lo] // per_shard), held[:0]
+                hi = int(np.searchsorted(slots, (shard + 1) * per_shard))
+                if (slots[lo:hi] != shard * per_shard + len(held) + np.arange(hi - lo)).any():
+                    raise RuntimeError(f"a slot of shard {shard} is not where its stride puts it")
+                held = np.concatenate([held, rows[lo:hi]])
+                lo = hi
+        put()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64()), pa.array(full, pa.int32())], names=["shard", "n"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                r = _records(folder, shard, 0, n, sequence)
+                none, start = _head(r)
+                crcs = [zlib.crc32(ids[:k]) for ids, k in zip(r["ids"], r["length"].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard * per_shard + np.arange(n)), pa.array(np.full(n, shard)), pa.array(r["doc_id"].copy(), mask=none), pa.array(start.astype(np.int32)), pa.array(r["length"].copy()), pa.array(crcs, pa.int64())],
+                    names=[f.split()[0] for f in out.split(", ")],
+                )
 
-    n_shards = -(-total // per_shard)
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
-    tasks = int(min(n_shards, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    dealt = d.mapInArrow(cut_up, "slot long, shard long, doc_id long, start int, ids binary")
-    return dealt.repartitionByRange(tasks, "shard").sortWithinPartitions("slot").mapInArrow(write, out)
+    dealt = d.mapInArrow(cut_up, "slot long, task int, doc_id long, start int, ids binary")
+    dealt.repartitionById(tasks, "task").sortWithinPartitions("slot").select("slot", "task", "doc_id", "start", "ids").mapInArrow(write, "shard long, n int").write.parquet(f"{folder}/shards")
+    shards = spark.read.schema("shard long, n int").parquet(f"{folder}/shards")
+    return shards.repartition(tasks, "shard").mapInArrow(read, out)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -1,6 +1,8 @@
 """The other operators against brute force, exact round trips or held-out accuracy."""
 
+import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,10 +11,12 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+import tiktoken
 import xxhash
-from test_contracts import ODD, corpus, frame, odd_rows
+from test_contracts import ODD, corpus, frame, odd_rows, words
+from tokenizers import Tokenizer
 
-from factloom.llm import cross_entropy, line_dedup, metric_tree, mixing, quality, simhash, training_order
+from factloom.llm import array_bpe, cross_entropy, line_dedup, metric_tree, mixing, quality, simhash, training_order
 
 TIKTOKEN = P.path("byte_bpe_50k.tiktoken")
 
@@ -30,16 +34,26 @@ def test_feistel_is_a_permutation(n):
         assert (slots != training_order.Feistel(n, 10).slot(np.arange(n))).any()
 
 
+def encode(text):
+    with open(TIKTOKEN, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("ids", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return np.array([*library.encode_ordinary(text or ""), training_order.END], "<u2")
+
+
 def test_training_order_round_trip(spark, tmp_path):
-    rows = odd_rows() + corpus()
+    rows = odd_rows() + corpus() + [(-1, "minus one"), (7000, " ".join(words(np.random.default_rng(2), 30_000)))]
     folder = f"file://{tmp_path}/shards"
-    got = training_order.materialise(frame(spark, rows).repartition(3), TIKTOKEN, P.PATTERN, folder, sequence=16, per_shard=100).collect()
-    encode = training_order.encoder(TIKTOKEN, P.PATTERN)
+    made = training_order.materialise(frame(spark, rows).repartition(3), P.path("byte_bpe_50k.json"), folder, sequence=16, per_shard=100)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "shards").rglob("*")}
+    got = made.collect()
+    made.count()
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "shards").rglob("*")} == files  # actions write nothing
     want = Counter()
     for i, t in rows:
-        ids = encode([t])[0]
+        ids = encode(t)
         for s in range(0, len(ids), 16):
-            want[-1 if i is None else i, s, ids[s : s + 16].tobytes()] += 1
+            want[i, s, ids[s : s + 16].tobytes()] += 1
     assert sorted(r.slot for r in got) == list(range(sum(want.values())))
     read = list(training_order.read_slots(folder, 0, len(got), 16, 100))
     assert Counter((d, s, ids.tobytes()) for d, s, _, ids in read) == want
@@ -49,7 +63,23 @@ def test_training_order_round_trip(spark, tmp_path):
         assert (r.doc_id, r.start, r.length, r.ids_crc32, r.shard) == (d, s, n, zlib.crc32(ids.tobytes()), slot // 100)
     resumed = list(training_order.read_slots(folder, 95, 20, 16, 100))
     assert [(d, s) for d, s, _, _ in resumed] == [(d, s) for d, s, _, _ in read[95:115]]
-    assert training_order.materialise(frame(spark, []), TIKTOKEN, P.PATTERN, folder + "2").collect() == []
+    assert training_order.materialise(frame(spark, []), P.path("byte_bpe_50k.json"), folder + "2").collect() == []
+
+
+@pytest.mark.parametrize("kind", ["word", "byte", "ordinary"])
+def test_array_tokenizer_is_the_library(kind, monkeypatch):
+    monkeypatch.setattr(array_bpe, "MEMORY", 500)
+    monkeypatch.setattr(array_bpe, "CHUNK", 3000)
+    path = P.path("word_bpe_49k.json" if kind == "word" else "byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = kind == "ordinary"
+    mine = array_bpe.word_tokenizer(path) if kind == "word" else array_bpe.byte_tokenizer(path, kind == "byte")
+    parts = [*"abc'stmdrevl  \n\t\r019!?.,_", "'s", "'ll", "'re", " '", "  ", "'LL", "é", "ß", "\u2026", "\u3000", "\u2177", "\u4f60", "\u044b", "\x85", "\xa0", "\xbd", "<|", "<|endoftext|>", "\U0001f44d", "e\u0301", "\ue000"]
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(4000)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in mine.encode(texts)] == want
+    assert mine.counts(texts).tolist() == list(map(len, want))
 
 
 # 2 ---------------------------------------------------------------------------
