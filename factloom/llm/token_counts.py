@@ -1,10 +1,9 @@
 """Token counts of a byte-level BPE by rank-synchronous array merging.
 
-A batch's distinct pre-tokens are laid out as one ragged numpy array of symbol
-ids. In each round every pre-token takes the lowest rank among its neighbouring
-pairs and merges that pair wherever it stands in it, all pre-tokens at once;
-a pre-token without a ranked pair leaves. What survives is counted. Pair ranks
-are looked up in an open-addressing table held in two arrays.
+A batch's distinct pre-tokens are held as one ragged numpy array of symbols; in each
+round every pre-token takes the lowest rank among its neighbouring pairs and merges
+that pair wherever it stands in it, all pre-tokens at once (array_bpe). What survives
+is counted.
 
 Edge cases: a null text counts as empty (no bytes, no tokens); a null doc_id
 stays null; rows are counted one by one, repeated or not; a pre-token of any
@@ -14,195 +13,33 @@ and the text are not read.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
+from factloom.llm.array_bpe import byte_tokenizer
+from factloom.llm.tables import portions
+
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 LIMIT = 1024
-#: Counts of pre-tokens held between batches, about 150 bytes each.
-MEMORY = 600_000
-#: Bytes of new pre-tokens that are merged together.
-CHUNK = 1 << 20
-#: Fixed value: the file's pre-token pattern, white space spelled out.
-_S = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-NONE = np.int32(2**31 - 1)
-
-
-def byte_symbols() -> dict[str, int]:
-    """The character that stands for each byte in such a vocabulary: printable
-    Latin-1 characters for themselves, the others from U+0100 on, in order."""
-    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    moved = [b for b in range(256) if b not in set(kept)]
-    return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(moved)}
-
-
-class Merger:
-    """Merges of one vocabulary as arrays."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        vocab, merges = told["model"]["vocab"], told["model"]["merges"]
-        self.special = sorted((t["content"] for t in told["added_tokens"]), key=len, reverse=True)
-        self.first = np.zeros(256, np.int64)
-        for c, b in byte_symbols().items():
-            self.first[b] = vocab[c]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-        keys = np.array([vocab[x] << 32 | vocab[y] for x, y in pairs], np.int64)
-        made = np.array([vocab[x + y] for x, y in pairs], np.int64)
-        self.bits = int(len(keys) * 4).bit_length()
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.rank = np.full(1 << self.bits, NONE, np.int32)
-        self.made = made
-        at, todo = self._slot(keys), np.arange(len(keys))
-        while len(todo):
-            free = self.keys[at] == -1
-            slots, who = np.unique(at[free], return_index=True)
-            placed = todo[free][who]
-            self.keys[slots], self.rank[slots] = keys[placed], placed
-            rest = ~np.isin(todo, placed)
-            todo, at = todo[rest], (at[rest] + 1) & (len(self.keys) - 1)
-        self.memory: dict[str, int] = {}
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = left << 32 | right
-        at = self._slot(keys)
-        found = self.keys[at]
-        out = np.where(found == keys, self.rank[at], NONE)
-        open_ = np.flatnonzero((found != keys) & (found != -1))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
-            got = self.keys[at[open_]]
-            hit = got == keys[open_]
-            out[open_[hit]] = self.rank[at[open_[hit]]]
-            open_ = open_[~hit & (got != -1)]
-        return out
-
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        """Surviving symbols of each of these non-empty pre-tokens."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
-        row = np.repeat(np.arange(len(words)), size)
-        left = size.copy()
-        alive = size > 1
-        keep = alive[row]
-        sym, row = sym[keep], row[keep]
-        pair = np.full(len(sym), NONE, np.int32)
-        if len(sym):
-            same = row[1:] == row[:-1]
-            pair[:-1][same] = self.ranks(sym[:-1][same], sym[1:][same])
-        while len(sym):
-            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            low = np.minimum.reduceat(pair, starts)
-            lengths = np.diff(np.r_[starts, len(sym)])
-            done = low == NONE
-            if done.any():
-                left[row[starts[done]]] = lengths[done]
-                keep = np.repeat(~done, lengths)
-                sym, row, pair = sym[keep], row[keep], pair[keep]
-                low, lengths = low[~done], lengths[~done]
-                if not len(sym):
-                    break
-            at = np.flatnonzero(pair == np.repeat(low, lengths))
-            # of overlapping equal pairs (aaa) every second one, from the left
-            chain = np.flatnonzero(np.r_[True, np.diff(at) != 1])
-            at = at[(np.arange(len(at)) - np.repeat(chain, np.diff(np.r_[chain, len(at)]))) % 2 == 0]
-            sym[at] = self.made[pair[at]]
-            gone = np.zeros(len(sym), bool)
-            gone[at + 1] = True
-            fresh = np.zeros(len(sym), bool)  # pairs to rank anew: of the merged symbol and of the one before it
-            fresh[at] = True
-            keep = ~gone
-            sym, row, pair, fresh = sym[keep], row[keep], pair[keep], fresh[keep]
-            fresh[:-1] |= fresh[1:]
-            todo = np.flatnonzero(fresh)
-            pair[todo] = NONE
-            todo = todo[todo + 1 < len(sym)]
-            todo = todo[row[todo] == row[todo + 1]]
-            pair[todo] = self.ranks(sym[todo], sym[todo + 1])
-        return left
-
-    def learn(self, words: set[str]) -> None:
-        some, size = [], 0
-        for w in words:
-            some.append(w)
-            size += len(w)
-            if size > CHUNK:
-                self._learn(some)
-                some, size = [], 0
-        if some:
-            self._learn(some)
-
-    def _learn(self, some: list[str]) -> None:
-        self.memory.update(zip(some, self.counts([w.encode() for w in some]).tolist()))
-
-    def texts(self, texts: list[str]) -> list[int]:
-        """Tokens of each text; special strings in it are one token each."""
-        split = regex.compile("|".join(map(regex.escape, self.special))).split if self.special else None
-        find = regex.compile(PATTERN).findall
-        extra = [0] * len(texts)
-        words: list[list[str]] = []
-        for i, t in enumerate(texts):
-            if split and any(x in t for x in self.special):
-                parts = split(t)
-                extra[i] = len(parts) - 1
-                words.append([w for p in parts for w in find(p)])
-            else:
-                words.append(find(t))
-        seen = set().union(*words)
-        new = seen - self.memory.keys()
-        if len(self.memory) + len(new) > MEMORY:
-            self.memory.clear()
-            new = seen
-        self.learn(new)
-        get = self.memory.__getitem__
-        return [n + sum(map(get, w)) for n, w in zip(extra, words)]
-
-
-_made: dict[str, Merger] = {}
-
-
-def merger(path: str) -> Merger:
-    """One per Python worker: its tables and memory serve later batches."""
-    if path not in _made:
-        _made[path] = Merger(path)
-    return _made[path]
-
-
-def sliced(texts: list[str], size: int = 2_000_000) -> Iterator[list[str]]:
-    some, n = [], 0
-    for t in texts:
-        some.append(t)
-        n += len(t)
-        if n > size:
-            yield some
-            some, n = [], 0
-    if some:
-        yield some
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) per row of docs."""
+    """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) per row of docs.
+    vocabulary: path of a tokenizers file; its special strings in texts are one token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Callable = merger(vocabulary).texts
+        tok = byte_tokenizer(vocabulary)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            tokens = np.array([n for some in sliced(texts) for n in count(some)], np.int64)
-            sizes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+            for part in portions(batch, 1):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                tokens = tok.counts(texts)
+                sizes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)],
+                    names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                )
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, COUNTS)
