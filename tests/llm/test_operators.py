@@ -86,7 +86,13 @@ def test_array_tokenizer_is_the_library(kind, monkeypatch):
 
 
 def normal(line):
-    return [w for w in re.split(r"[\W_]+", line.lower()) if w]
+    """(words, form)"""
+    low = line.lower()
+    if len(line.encode()) >= line_dedup.WIDE * max(1, len(line)):
+        w = [c for c in low if c.isalnum()]
+        return tuple(w), "".join(w)
+    w = [w for w in re.split(r"[\W_]+", low) if w]
+    return tuple(w), " ".join(w)
 
 
 def edit(a, b):
@@ -107,9 +113,9 @@ def plain_line_dedup(rows):
     forms, first = {}, {}
     for d, t in rows:
         for i, line in enumerate((t or "").split("\n")):
-            w = tuple(normal(line))
-            if len(w) >= line_dedup.MIN_WORDS:
-                forms.setdefault(w, sim64(w))
+            w = normal(line)
+            if w[0]:
+                forms.setdefault(w, sim64(w[0]))
                 at = (d is not None, d or 0, i)
                 first[w] = min(first.get(w, at), at)
     root = {w: w for w in forms}
@@ -123,7 +129,7 @@ def plain_line_dedup(rows):
     for i, a in enumerate(every):
         for b in every[:i]:
             if (forms[a] ^ forms[b]).bit_count() <= 3:
-                x, y = " ".join(a), " ".join(b)
+                x, y = a[1], b[1]
                 if edit(x, y) <= np.floor((1 - line_dedup.SIMILAR) * max(len(x), len(y)) + 1e-9):
                     root[find(a)] = find(b)
     kept = {}
@@ -137,8 +143,8 @@ def plain_line_dedup(rows):
             continue
         left = []
         for i, line in enumerate(t.split("\n")):
-            w = tuple(normal(line))
-            if len(w) < line_dedup.MIN_WORDS or kept[find(w)] == (d is not None, d or 0, i):
+            w = normal(line)
+            if not w[0] or kept[find(w)] == (d is not None, d or 0, i):
                 left.append(line)
         out.append((d, "\n".join(left)))
     return Counter(out)
@@ -171,11 +177,49 @@ def test_line_dedup(spark):
     assert len(told) == len(rows) and all(r.n_kept <= r.n_lines for r in told)
 
 
-def test_line_dedup_bits_are_simhash(spark):
+def test_line_dedup_bits_are_simhash(spark, monkeypatch):
     ws = [f"w{i} " * (i % 5 + 1) + "some more words here" for i in range(50)]
-    df = line_dedup.lines(frame(spark, list(enumerate(ws))).select("doc_id", "text"))
-    got = {r.doc_id: r.sim % (1 << 64) for r in line_dedup.fingerprints(df).collect()}
-    assert got == {i: sim64(normal(t)) for i, t in enumerate(ws)}
+    df = frame(spark, list(enumerate(ws))).select("doc_id", "text")
+    for most in (32_767, 6):  # lanes, and bit by bit
+        monkeypatch.setattr(line_dedup, "MAX_WORDS", most)
+        got = {r.doc_id: r.sim % (1 << 64) for r in line_dedup.fingerprints(df).collect()}
+        assert got == {i: sim64(normal(t)[0]) for i, t in enumerate(ws)}
+
+
+def test_line_dedup_of_a_very_long_line(spark):
+    line = " ".join(words(np.random.default_rng(3), 34_000))
+    rows = [(1, line), (2, "one here\n" + line.replace(" w7 ", " w8 ", 3)), (3, line.upper())]
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(frame(spark, rows)).collect()}
+    assert got == {1: line, 2: "one here", 3: ""}
+
+
+@pytest.mark.parametrize("cell", [1, 256])
+def test_line_dedup_of_crowded_blocks(spark, cell, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CELL", cell)
+    monkeypatch.setattr(line_dedup, "PIVOTS", 2)
+    rng = np.random.default_rng(6)
+    some = []
+    for b in range(2):
+        base = [f"b{b}{i % 5}" for i in range(60)]
+        for i in range(16):
+            w = list(base)
+            for at in rng.integers(0, 60, 1 + i % 3):
+                w[int(at)] = f"x{i}"
+            some.append(" ".join(w[30:] + w[:30] if i % 5 == 4 else w))  # turned about: equal bits, many edits
+    rows = [(i, t) for i, t in enumerate(some)]
+    assert Counter((r.doc_id, r.text) for r in line_dedup.deduplicated(frame(spark, rows)).collect()) == plain_line_dedup(rows)
+
+
+def test_line_dedup_of_short_lines_other_scripts_and_odd_names(spark):
+    chinese = "今天天气很好我们一起去公园散步看花然后回家吃饭休息看书写字听音乐最后睡觉明天再去" * 6
+    rows = [(1, "Les.\n---\n\n" + chinese), (2, "les\n---\n\n" + chinese[:20] + "的" + chinese[21:]), (None, "les\nnew"), (None, "les\nold")]
+    want = plain_line_dedup(rows)
+    assert want[None, "les\nnew"] == 1 and want[1, "---\n\n" + chinese] == 1 and want[2, "---\n"] == 1
+    df = frame(spark, rows)
+    odd = df.selectExpr("doc_id", "text", "lang as gone", "bucket as h", "lang as __gone", "lang as doc", "lang as g", "bucket as `text.x`")
+    got = line_dedup.deduplicated(odd)
+    assert got.columns == odd.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want
 
 
 def test_line_dedup_of_repeated_words_and_spread_edits(spark):
