@@ -22,6 +22,14 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
+#: Edges of a partition at most where there are few: rounds over few edges need few tasks.
+SHARE = 50_000
+
+
+def _gathered(edges: DataFrame, n: int) -> DataFrame:
+    return edges.coalesce(max(8, -(-n // SHARE)))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node on an edge; root is the component's smallest node.
 
@@ -35,6 +43,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         # large star: every neighbour above u hangs on u's smallest neighbour (or u)
+        e = _gathered(e, before[0])
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
