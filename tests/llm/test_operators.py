@@ -195,7 +195,7 @@ def test_line_dedup_of_a_very_long_line(spark):
 
 @pytest.mark.parametrize("cell", [1, 256])
 def test_line_dedup_of_crowded_blocks(spark, cell, monkeypatch):
-    monkeypatch.setattr(line_dedup, "CELL_LEAST", min(cell, 32))
+    monkeypatch.setattr(line_dedup, "CELL_LATER", min(cell, 32))
     monkeypatch.setattr(line_dedup, "CELL", cell)
     monkeypatch.setattr(line_dedup, "PIVOTS", 2)
     rng = np.random.default_rng(6)
