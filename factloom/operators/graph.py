@@ -43,20 +43,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         # large star: every neighbour above u hangs on u's smallest neighbour (or u)
-        e = _gathered(e, before[0])
+        few = lambda df, n=before[0]: _gathered(df, n)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
+        large = few(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct()
         # small star: u and its lower neighbours hang on the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
+        large = few(large)
+        low = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(
             large.join(low, "u")
             .where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        e = cut(small)
+        ).distinct()
+        e = cut(few(small))
         after = _mark(e)
         if after == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
