@@ -28,13 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.tables import portions
+
 DIM = 1 << 18
 SAMPLE = 12_000
 MIN_DOCS = 4
 SIGMA, LIFT = 5.0, 3.0
 KEEP = 0.5
 STEPS, RATE, RIDGE = 300, 0.2, 1e-4
-MEMORY = 500_000
+#: Words held between texts, about 250 bytes each; emptied at the end of a task.
+MEMORY = 150_000
 #: Entries of the sample's features that are counted at once.
 PART = 1_000_000
 
@@ -45,20 +48,24 @@ _shapes = (
     (re.compile(r"\d+"), "9"),
     (re.compile(r"([^\w\s])\1+"), r"\1\1"),
 )
-_memory: dict[str, tuple[tuple[int, ...], int]] = {}
+#: What is held of a word: its features (-1 for none) and the hash of its shape.
+HELD = np.dtype([("f", "<i4", 4), ("shape", "<u8")])
+_memory: dict[str, bytes] = {}
 
 
-def _features(word: str) -> tuple[tuple[int, ...], int]:
-    """(features of the word and its beginnings, hash of its shape)."""
+def _features(word: str) -> bytes:
+    """HELD of the word: features of it and its beginnings, hash of its shape."""
     core = LETTERS.search(word)
     shape = word[:40]
     for find, put in _shapes:
         shape = find.sub(put, shape)
-    if not core:
-        return (), xxhash.xxh64_intdigest("s " + shape)
-    w = core.group().lower()
-    of = {"w " + w} | {f"p {w[:n]}" for n in (4, 5, 6) if len(w) >= n}
-    return tuple(xxhash.xxh64_intdigest(x) % DIM for x in of), xxhash.xxh64_intdigest("s " + shape)
+    f = [-1] * 4
+    if core:
+        w = core.group().lower()
+        of = {"w " + w} | {f"p {w[:n]}" for n in (4, 5, 6) if len(w) >= n}
+        for i, x in enumerate(of):
+            f[i] = xxhash.xxh64_intdigest(x) % DIM
+    return np.array([(f, xxhash.xxh64_intdigest("s " + shape))], HELD).tobytes()
 
 
 def features(text: str | None) -> np.ndarray:
@@ -69,24 +76,44 @@ def features(text: str | None) -> np.ndarray:
     counts = Counter(words)
     if len(_memory) > MEMORY:
         _memory.clear()
-    found, shapes = set(), Counter()
-    for w, n in counts.items():
+    raw = []
+    for w in counts:
         got = _memory.get(w)
         if got is None:
-            got = _memory[w] = _features(w)
-        found.update(got[0])
-        shapes[got[1]] += n
+            got = _features(w)
+            if len(w) < 100:
+                _memory[w] = got
+        raw.append(got)
+    held = np.frombuffer(b"".join(raw), HELD)
     n = len(words)
+    each = np.fromiter(counts.values(), np.int64, len(counts))
     signs = {
         "again": sum(map(str.__eq__, words, words[1:])) / n,
         "kinds": len(counts) / n,
-        "most": max(counts.values()) / n,
+        "most": int(each.max()) / n,
         "plain": sum(map(str.isalpha, words)) / n,
     }
     long = min(9, int(np.log2(n)))
-    found.update(xxhash.xxh64_intdigest(f"r {name} {int(10 * x)} {long if name in ('kinds', 'most') else 0}") % DIM for name, x in signs.items())
-    found |= {(s + 0x9E3779B97F4A7C15 * (1 + 10 * k // n)) % (1 << 64) % DIM for s, k in shapes.items()}
-    return np.sort(np.fromiter(found, np.int32, len(found)))
+    told = [xxhash.xxh64_intdigest(f"r {name} {int(10 * x)} {long if name in ('kinds', 'most') else 0}") % DIM for name, x in signs.items()]
+    shapes, of = np.unique(held["shape"], return_inverse=True)
+    share = 1 + 10 * np.bincount(of, each).astype(np.int64) // n
+    with np.errstate(over="ignore"):
+        shaped = (shapes + np.uint64(0x9E3779B97F4A7C15) * share.astype(np.uint64)) % np.uint64(DIM)
+    found = np.unique(np.concatenate([held["f"].ravel(), shaped.astype(np.int32), np.array(told, np.int32)]))
+    return found[found >= 0]
+
+
+def _forgetting(run):
+    """The task's function, with the memory of words emptied at its end: the worker's
+    next task may be of another stage."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _memory.clear()
+
+    return outer
 
 
 def telling(idx: np.ndarray, grade: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -155,9 +182,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([features(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["grade", "f"])
+            for part in portions(batch, 0):
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([features(t).tobytes() for t in part.column(0).to_pylist()], pa.binary())], names=["grade", "f"])
 
-    rows = docs.join(some, "doc_id").select("text", "grade").mapInArrow(run, "grade int, f binary").toArrow()
+    rows = docs.join(some, "doc_id").select("text", "grade").mapInArrow(_forgetting(run), "grade int, f binary").toArrow()
     order = np.argsort([xxhash.xxh64_intdigest(f.as_buffer()) for f in rows["f"]], kind="stable")  # the same sum whatever the order of rows
     rows = rows.take(pa.array(order)).combine_chunks()
     if not len(rows):
@@ -187,14 +215,11 @@ def _scores(w: np.ndarray, t: np.ndarray, id_at: int, text_at: int, make):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.zeros(batch.num_rows)
-            for i, text in enumerate(batch.column(text_at).to_pylist()):
-                f = features(text)
-                z[i] = w[f].sum(dtype=np.float64)
+            z = np.array([w[features(text)].sum(dtype=np.float64) for part in portions(batch, text_at) for text in part.column(text_at).to_pylist()])
             c0, c1 = _sigmoid(t[0] - z), _sigmoid(t[1] - z)
             yield pa.RecordBatch.from_arrays(*make(batch, np.round((1 - c0) + (1 - c1), 9), np.round(1 - c1, 9)))
 
-    return run
+    return _forgetting(run)
 
 
 def selected(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
@@ -208,4 +233,4 @@ def selected(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int
             next(_scores(w, t, 0, at, lambda b, e, p: tails.append(p) or ([pa.array(p)], ["p"]))(iter([batch])))
             yield batch.filter(pa.array(tails[0] >= keep)).select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(_forgetting(run), docs.schema)

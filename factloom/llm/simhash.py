@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.tables import hinted
+from factloom.llm.tables import hinted, portions
 from factloom.operators.graph import connected_components
 from factloom.session import cut
 
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, k) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(t, k) for part in portions(batch, 1) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -340,7 +340,7 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return told.orderBy(F.desc("n"), "key").limit(COMMON).toPandas()["key"].to_numpy(np.int64)[::-1]
 
 
-def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: int = RUN) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: int = RUN, carried: bool = False) -> DataFrame:
     """doc_id, component_id per row: documents whose sets of k-word shingles have a
     Jaccard similarity of `similar` or more, and groups of these.
 
@@ -350,9 +350,11 @@ def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: in
     verified on their whole sets. So that a crowd of near copies does not become all its
     pairs, holders of a shingle are first compared with its least and its greatest holder,
     and other pairs only if they are in no common group by then. Up to `limit` keys are
-    broadcast. Edge cases are those of near_components.
+    broadcast. carried: with text_hash (xxhash64 of the text). Edge cases are those of
+    near_components.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = d.withColumn("text_hash", F.xxhash64("text"))
     common = common_shingles(d, k)
     order = np.argsort(common)
     sent = d.sparkSession.sparkContext.broadcast((common[order], order + 1))
@@ -362,7 +364,7 @@ def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: in
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 ids, n, keys = [], [], []
-                for t in batch.column(1).slice(at, 500).to_pylist():
+                for t in (t for part in portions(batch.slice(at, 500), 1) for t in part.column(1).to_pylist()):
                     s = shingle_set(t, k)
                     ids.append(set_id(s))
                     n.append(len(s))
@@ -373,9 +375,9 @@ def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: in
                     keys.append(s[:first])
                 offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(ids, pa.int64()), pa.array(n, pa.int32()), lists], names=["doc_id", "id", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), batch.column(2).slice(at, 500), pa.array(ids, pa.int64()), pa.array(n, pa.int32()), lists], names=["doc_id", "text_hash", "id", "n", "keys"])
 
-    base = cut(d.mapInArrow(prints, "doc_id long, id long, n int, keys array<long>"))
+    base = cut(d.mapInArrow(prints, "doc_id long, text_hash long, id long, n int, keys array<long>"))
     rows = base.select("id", "n", F.explode("keys").alias("key"))
     shared = cut(rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
     held = cut(rows.join(hinted(shared, limit), "key").select("key", "id", "n", "low", "high").distinct())
@@ -397,7 +399,7 @@ def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: in
     rooted = cut(distinct.join(group.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "least_id", F.coalesce("root", "id").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = rooted.join(ids, "root").select("id", "component_id")
-    return base.select("doc_id", "id").join(classes, "id").select("doc_id", "component_id")
+    return base.join(classes, "id").select("doc_id", *(["text_hash"] if carried else []), "component_id")
 
 
 def _similar_sets(pairs: DataFrame, base: DataFrame, docs: DataFrame, k: int, similar: float) -> DataFrame:
@@ -427,11 +429,16 @@ def _similar_sets(pairs: DataFrame, base: DataFrame, docs: DataFrame, k: int, si
 def without_near_copies(docs: DataFrame, k: int = K, similar: float = SIMILAR) -> DataFrame:
     """The rows of docs with the least doc_id of their group, all their columns.
 
-    Of rows that share a doc_id one stays. Rows with a null doc_id all stay.
+    Rows that share a doc_id stay or go by their own texts: a row goes if its group has a
+    lesser doc_id, or a row of the same doc_id and text comes before it. Rows with a null doc_id all stay.
     """
-    groups = cut(near_groups(docs, k, similar))
-    gone = hinted(cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()))
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    groups = near_groups(docs, k, similar, carried=True)
+    gone = groups.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.max(F.col("doc_id") > F.col("component_id")).alias("gone"), F.count("*").alias("n"))
+    gone = hinted(cut(gone.where("gone or n > 1").select(F.struct("*").alias("told"))))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
+    of = F.col("doc").getField
+    same = (of("doc_id").cast("long") == F.col("told.doc_id")) & (F.xxhash64(of("text").cast("string")) == F.col("told.text_hash"))
+    both = rows.join(gone, same, "left")
+    alone = both.where("told is null")
+    again = both.where("told is not null and not told.gone").groupBy("told.doc_id", "told.text_hash").agg(F.first("doc").alias("doc")).select("doc")
+    return alone.select("doc").unionByName(again).select(*[of(c).alias(c) for c in docs.columns])
