@@ -305,6 +305,8 @@ def near_components(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_co
 # --- near copies at a shingle similarity ------------------------------------
 
 K, SIMILAR = 5, 0.8
+#: Rows of three longs at most (about 40 MB) that are sent to the tasks that read texts or keys.
+SENT = 1_000_000
 #: Documents whose shingles are counted to put common ones last, and the common ones kept.
 SAMPLE, COMMON = 4000, 200_000
 
@@ -340,7 +342,7 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return told.orderBy(F.desc("n"), "key").limit(COMMON).toPandas()["key"].to_numpy(np.int64)[::-1]
 
 
-def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: int = RUN, carried: bool = False) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: int = SENT, carried: bool = False) -> DataFrame:
     """doc_id, component_id per row: documents whose sets of k-word shingles have a
     Jaccard similarity of `similar` or more, and groups of these.
 
@@ -411,16 +413,17 @@ def _similar_sets(pairs: DataFrame, base: DataFrame, docs: DataFrame, k: int, si
             for at in range(0, batch.num_rows, 200):
                 sets = [shingle_set(t, k) for t in batch.column(0).slice(at, 200).to_pylist()]
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
+                # half of each hash: two of a pair's shingles are taken for one in 2^32 cases
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), lists], names=["id", "members"])
 
     sizes = base.select("id", "n").distinct()
     sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
     sized = cut(sized.where(F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b") - 1e-9))
-    ends = hinted(cut(sized.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-    at = hinted(cut(base.join(ends, "id").groupBy("id").agg(F.min("doc_id").alias("__at")).select("__at").distinct()))
+    ends = hinted(cut(sized.select(F.explode(F.array("a", "b")).alias("id")).distinct()), SENT)
+    at = hinted(cut(base.join(ends, "id").groupBy("id").agg(F.min("doc_id").alias("__at")).select("__at").distinct()), SENT)
     there = docs.join(at, docs["doc_id"].eqNullSafe(at["__at"]), "left_semi").select("text")
-    sets = cut(there.mapInArrow(run, "id long, members array<long>").join(ends, "id", "left_semi").dropDuplicates(["id"]))
+    sets = cut(there.mapInArrow(run, "id long, members array<int>").join(ends, "id", "left_semi").dropDuplicates(["id"]))
     both = sized.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.where(common >= similar * (F.col("n_a") + F.col("n_b") - common) - 1e-9).select("a", "b"))

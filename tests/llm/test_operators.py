@@ -195,7 +195,6 @@ def test_line_dedup_of_a_very_long_line(spark):
 
 @pytest.mark.parametrize("cell", [1, 256])
 def test_line_dedup_of_crowded_blocks(spark, cell, monkeypatch):
-    monkeypatch.setattr(line_dedup, "CELL_LATER", min(cell, 32))
     monkeypatch.setattr(line_dedup, "CELL", cell)
     monkeypatch.setattr(line_dedup, "PIVOTS", 2)
     rng = np.random.default_rng(6)
@@ -346,7 +345,7 @@ def test_a_hot_group_is_one_component(spark):
         t = list(base)
         t[int(rng.integers(200))] = f"x{i}"
         rows.append((i, " ".join(t)))
-    for limit in (simhash.RUN, 90):
+    for limit in (simhash.SENT, 90):
         got = simhash.near_groups(frame(spark, rows), limit=limit).collect()
         assert {r.component_id for r in got} == {0}
 
