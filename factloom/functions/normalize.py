@@ -18,7 +18,7 @@ STOP_WORDS = (
     "chat sync catch up zoom google teams invitation invite updated event session "
     "consultation consult strategy onboarding follow followup via from your you our "
     "minute minutes min mins hour appel rdv rendez vous avec info contact hello "
-    "team sales admin office booking scheduled neocal calendly"
+    "team sales admin office booking scheduled calendly"
 ).split()
 
 

@@ -18,12 +18,13 @@ def first_wins(candidates: DataFrame, priority: list[str]) -> DataFrame:
     return candidates.groupBy("natural_key").agg(F.min_by(F.struct(*rest), F.struct(rank, F.col("content_hash"))).alias("r")).select("natural_key", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def diff(candidates: DataFrame, live: DataFrame, connected: list[str]) -> DataFrame:
+def diff(candidates: DataFrame, live: DataFrame, connected: list[str], immutable: tuple[str, ...] = ()) -> DataFrame:
     """(natural_key, change, source, content_hash, old_hash): new, unchanged, corrected,
     withdrawn or kept.
 
     A fact that no candidate states is withdrawn only if its family is a snapshot and
-    its source is connected; otherwise it is kept. One full outer join on the key.
+    its source is connected; otherwise it is kept. A fact of an immutable family is
+    unchanged whatever is stated of it later. One full outer join on the key.
     """
     c = candidates.select("natural_key", F.col("source").alias("c_source"), F.col("content_hash").alias("c_hash"))
     f = live.select("natural_key", F.col("source").alias("f_source"), F.col("content_hash").alias("f_hash"), F.col("family").alias("f_family"))
@@ -31,7 +32,7 @@ def diff(candidates: DataFrame, live: DataFrame, connected: list[str]) -> DataFr
     change = (
         F.when(F.col("f_hash").isNull(), "new")
         .when(F.col("c_hash").isNull(), F.when(gone, "withdrawn").otherwise("kept"))
-        .when(F.col("c_hash") == F.col("f_hash"), "unchanged")
+        .when((F.col("c_hash") == F.col("f_hash")) | F.col("f_family").isin(*immutable), "unchanged")
         .otherwise("corrected")
     )
     return c.join(f, "natural_key", "full_outer").select("natural_key", change.alias("change"), F.coalesce("c_source", "f_source").alias("source"), F.col("c_hash").alias("content_hash"), F.col("f_hash").alias("old_hash"))

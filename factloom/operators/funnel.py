@@ -40,15 +40,20 @@ def is_creation(first: Column, changed: Column, created: Column) -> Column:
 
 def stage_events(entries: DataFrame, cards: DataFrame, meanings: DataFrame, floor: float = 0.5) -> DataFrame:
     """(card_id, step, occurred_at) for entries into a stage that means a step, where the
-    stage before did not mean it. Meanings under the floor mean nothing. A card created
+    stage before did not mean it. Meanings under the floor, and 'none', mean nothing. A
+    meaning holds for a stage under the name (and of the connection) it was judged by,
+    where meanings tell these. A card created
     in a late stage is undated evidence; creation dates only a booked meeting. Of the
     entries of a card into a step the earliest stays, undated last."""
-    m = F.broadcast(meanings.where(F.col("confidence") >= floor).select("stage_id", "meaning"))
-    before = m.select(F.col("stage_id").alias("previous_value"), F.col("meaning").alias("previous_meaning"))
+    also = [c for c in ("stage_name", "connection") if c in meanings.columns]
+    was = {"stage_name": "previous_name", "connection": "connection"}
+    m = meanings.where(F.col("confidence") >= floor)
+    mine = m.select(F.col("stage_id").alias("value"), "meaning", *also)
+    before = m.select(F.col("stage_id").alias("previous_value"), F.col("meaning").alias("previous_meaning"), *[F.col(c).alias(was[c]) for c in also])
     made = cards.select("card_id", F.col("created_at").alias("__created"))
     e = (
-        entries.join(m, F.col("value") == F.col("stage_id"))
-        .join(before, "previous_value", "left")
+        entries.join(F.broadcast(mine.where("meaning <> 'none'")), ["value", *also])
+        .join(F.broadcast(before), ["previous_value", *[was[c] for c in also]], "left")
         .join(made, "card_id", "left")
         .where(~F.col("meaning").eqNullSafe(F.col("previous_meaning")))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def newest(df: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in the given order. For n = 1 and large groups prefer
-    newest_by(), which aggregates map-side and sorts nothing."""
+    newest_by(), which sends one row a task and key."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
@@ -26,10 +26,11 @@ def previous_message(messages: DataFrame, by: str, at: str, key: str, text: str
 
     An as-of join without a join: among equal times the least key is not "before", so the
     value comes from the last row of the last earlier time, by a range frame that ends
-    just before the current time.
+    just before the current time. An undated message has none and is nobody's.
     """
     w = Window.partitionBy(by).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.struct(F.col(at), F.col(key), F.col(text))).over(w)
+    dated = F.col(at).isNotNull()
+    last = F.when(dated, F.max(F.when(dated, F.struct(F.col(at), F.col(key), F.col(text)))).over(w))
     return messages.withColumns({"previous_text": last[text], "previous_at": last[at]})
 
 

@@ -104,7 +104,7 @@ def campaign_addresses(spark: SparkSession, sf: str) -> DataFrame:
 # --- legs and funnel --------------------------------------------------------------
 
 _LEG = """ev AS (SELECT CASE event_type WHEN 'signup' THEN 'from' ELSE 'to' END AS end_, user_id AS pk, CASE WHEN user_id % 7 <> 0 OR event_id % 2 = 0 THEN ts END AS occurred_at
-  FROM events WHERE event_type = 'signup' OR (event_type = 'purchase' AND value > 150)),
+  FROM events WHERE event_type = 'signup' OR event_type = 'purchase'),
 fr AS (SELECT pk, min(occurred_at) AS from_at FROM ev WHERE end_ = 'from' GROUP BY 1),
 tagged AS (SELECT pk, from_at, pk % 13 = 0 AS contacted, pk % 3 <> 0 AND pk % 5 = 0 AS automated, pk % 3 <> 0 AND pk % 5 = 1 AS not_business, pk % 3 <> 0 AND pk % 11 = 2 AS group_only FROM fr),
 pop AS (SELECT pk, from_at FROM tagged WHERE NOT (contacted OR automated OR not_business OR group_only)),
@@ -113,7 +113,7 @@ toers AS (SELECT pk, min(occurred_at) AS to_at FROM tov WHERE counts GROUP BY 1)
 
 
 def _leg(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, sf, "events").where("event_type = 'signup' or (event_type = 'purchase' and value > 150)")
+    e = table(spark, sf, "events").where("event_type = 'signup' or event_type = 'purchase'")
     at = F.when((F.col("user_id") % 7 != 0) | (F.col("event_id") % 2 == 0), F.col("ts"))
     ev = e.select(F.when(F.col("event_type") == "signup", "from").otherwise("to").alias("end_"), F.col("user_id").alias("pk"), at.alias("occurred_at"))
     who = views.people(spark, sf).select(F.regexp_extract("person_key", r"(\d+)@", 1).cast("long").alias("pk"), "automated", "not_business", "group_only")
@@ -152,25 +152,25 @@ def stage_history(spark: SparkSession, sf: str) -> DataFrame:
     return _entries(spark, sf).select("o_orderkey", "previous_value", "previous_name", "is_first")
 
 
-@query(f"""WITH {_ENTRIES}, m(stage_id, meaning, confidence) AS (VALUES ('F', 'sale', 0.9), ('O', 'meeting_booked', 0.5), ('P', 'sale', 0.3)),
+@query(f"""WITH {_ENTRIES}, m(stage_id, meaning, confidence) AS (VALUES ('F', 'sale', 0.9), ('O', 'meeting_booked', 0.5), ('P', 'none', 0.8)),
 card AS (SELECT o_custkey, min(o_orderdate) AS created FROM orders GROUP BY 1),
 j AS (SELECT e.o_custkey AS card_id, m.meaning AS step, CASE WHEN is_first AND changed_at = created AND m.meaning <> 'meeting_booked' THEN NULL ELSE changed_at END AS t
-  FROM e JOIN m ON m.stage_id = e.o_orderstatus AND m.confidence >= 0.5 LEFT JOIN m p ON p.stage_id = e.previous_value AND p.confidence >= 0.5 JOIN card USING (o_custkey) WHERE m.meaning IS DISTINCT FROM p.meaning)
+  FROM e JOIN m ON m.stage_id = e.o_orderstatus AND m.confidence >= 0.5 LEFT JOIN m p ON p.stage_id = e.previous_value AND p.confidence >= 0.5 JOIN card USING (o_custkey) WHERE m.meaning <> 'none' AND m.meaning IS DISTINCT FROM p.meaning)
 SELECT card_id, step, strftime(min(t), '%Y-%m-%d') AS occurred_on FROM j GROUP BY 1, 2""")
 def stage_events(spark: SparkSession, sf: str) -> DataFrame:
-    meanings = spark.createDataFrame([("F", "sale", 0.9), ("O", "meeting_booked", 0.5), ("P", "sale", 0.3)], "stage_id string, meaning string, confidence double")
+    meanings = spark.createDataFrame([("F", "sale", 0.9), ("O", "meeting_booked", 0.5), ("P", "none", 0.8)], "stage_id string, meaning string, confidence double")
     cards = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("card_id")).agg(F.min("o_orderdate").alias("created_at"))
     return funnel.stage_events(_entries(spark, sf), cards, meanings).select("card_id", "step", day("occurred_at").alias("occurred_on"))
 
 
-@query("""WITH r AS (SELECT user_id AS c, CASE event_type WHEN 'view' THEN 'form_submitted' WHEN 'click' THEN 'meeting_booked' WHEN 'signup' THEN 'meeting_attended' WHEN 'error' THEN 'meeting_not_held' ELSE 'sale' END AS step FROM events WHERE value > 195),
+@query("""WITH r AS (SELECT user_id AS c, CASE event_type WHEN 'view' THEN 'form_submitted' WHEN 'click' THEN 'meeting_booked' WHEN 'signup' THEN 'meeting_attended' WHEN 'error' THEN 'meeting_not_held' ELSE 'sale' END AS step FROM events),
 s(step) AS (VALUES ('form_submitted'), ('meeting_booked'), ('meeting_attended'), ('meeting_not_held'), ('sale'), ('deal_lost')),
 i(step, later) AS (VALUES ('meeting_booked', 'meeting_attended'), ('meeting_booked', 'meeting_not_held'), ('meeting_booked', 'sale'), ('meeting_attended', 'sale'))
 SELECT s.step, (SELECT count(DISTINCT c) FROM r WHERE r.step = s.step) AS contacts,
  (SELECT count(DISTINCT c) FROM r WHERE r.step = s.step OR r.step IN (SELECT later FROM i WHERE i.step = s.step)) AS contacts_at_or_beyond FROM s""")
 def funnel_reach(spark: SparkSession, sf: str) -> DataFrame:
     step = {"view": "form_submitted", "click": "meeting_booked", "signup": "meeting_attended", "error": "meeting_not_held", "purchase": "sale"}
-    rows = table(spark, sf, "events").where("value > 195").select(F.col("user_id").alias("contact_id"), F.create_map(*[F.lit(x) for kv in step.items() for x in kv])[F.col("event_type")].alias("step"))
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("contact_id"), F.create_map(*[F.lit(x) for kv in step.items() for x in kv])[F.col("event_type")].alias("step"))
     return funnel.reach_tally(rows)
 
 
@@ -220,12 +220,12 @@ def previous_message(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("o_orderkey", "previous_text", day("previous_at").alias("previous_on"))
 
 
-@query("""WITH asks AS (SELECT event_id AS ask_id, user_id AS address, ts AS after FROM events WHERE event_type = 'error' AND event_id % 4 = 0)
+@query("""WITH asks AS (SELECT event_id AS ask_id, user_id AS address, ts AS after FROM events WHERE event_type = 'error')
 SELECT ask_id, asks.address, arg_min(e.event_id, (e.ts, e.event_id)) AS first_id, arg_max(e.event_id, (e.ts, e.event_id)) AS last_id, count(e.event_id) AS n
 FROM asks LEFT JOIN events e ON e.user_id = asks.address AND e.ts > asks.after AND e.event_type = 'purchase' GROUP BY 1, 2""")
 def sent_after(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    asks = e.where("event_type = 'error' and event_id % 4 = 0").select(F.col("event_id").alias("ask_id"), F.col("user_id").alias("address"), F.col("ts").alias("after"))
+    asks = e.where("event_type = 'error'").select(F.col("event_id").alias("ask_id"), F.col("user_id").alias("address"), F.col("ts").alias("after"))
     sent = e.where("event_type = 'purchase'").select(F.col("user_id").alias("address"), F.col("ts").alias("occurred_at"), F.col("event_id").alias("message_id"))
     return messages.sent_after(asks, sent)
 
@@ -399,19 +399,19 @@ def page_domains(spark: SparkSession, sf: str) -> DataFrame:
 # --- health ------------------------------------------------------------------------
 
 
-@query("""WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE value > 60), n AS (SELECT *, max(day) OVER (PARTITION BY user_id) AS newest FROM d),
+@query("""WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), n AS (SELECT *, max(day) OVER (PARTITION BY user_id) AS newest FROM d),
 g AS (SELECT *, day - lag(day) OVER (PARTITION BY user_id ORDER BY day) AS gap FROM n WHERE newest - day <= 180)
 SELECT user_id, strftime(max(day), '%Y-%m-%d') AS newest_day, max(gap) AS longest_gap_days FROM g GROUP BY 1""")
 def quiet_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    got = health.longest_quiet_gap(table(spark, sf, "events").where("value > 60"), "user_id", "ts")
+    got = health.longest_quiet_gap(table(spark, sf, "events"), "user_id", "ts")
     return got.select("user_id", day("newest_day").alias("newest_day"), F.col("longest_gap_days").cast("long").alias("longest_gap_days"))
 
 
-@query("""WITH n AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE value > 190 GROUP BY 1, 2),
+@query("""WITH n AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2),
 a AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM n)
 SELECT t.event_type, strftime(a.day, '%Y-%m-%d') AS day, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT event_type FROM n) t CROSS JOIN a LEFT JOIN n ON n.event_type = t.event_type AND n.day = a.day""")
 def intake_days(spark: SparkSession, sf: str) -> DataFrame:
-    return health.daily_counts(table(spark, sf, "events").where("value > 190"), "event_type", "ts").select("event_type", day("day").alias("day"), "n")
+    return health.daily_counts(table(spark, sf, "events"), "event_type", "ts").select("event_type", day("day").alias("day"), "n")
 
 
 @query(None)

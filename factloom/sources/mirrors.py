@@ -86,9 +86,14 @@ def net_paid(charges: DataFrame, customer: str = "customer") -> DataFrame:
 
 def signups(users: DataFrame, memberships: DataFrame, staff: Column) -> DataFrame:
     """Users who signed up by themselves: not our staff, and in no organisation at all or
-    first in one of theirs (an invited teammate is somebody an outsider came before in
-    every one). users: (user_id, email); memberships: (org, user_id, joined_at)."""
-    outside = memberships.join(users.where(~staff).select("user_id"), "user_id")
-    first = outside.groupBy("org").agg(F.min_by("user_id", F.struct("joined_at", "user_id")).alias("first_user"))
-    mine = memberships.join(first, "org", "left").groupBy("user_id").agg(F.max((F.col("first_user").isNull()) | (F.col("first_user") == F.col("user_id"))).alias("__first"))
-    return users.where(~staff).join(mine, "user_id", "left").where(F.coalesce("__first", F.lit(True))).drop("__first")
+    in one that they made, whose maker is unknown, or which our staff made and they
+    joined first of all outsiders. users: (user_id, email); memberships: (org, user_id,
+    joined_at, org_created_by)."""
+    outside = users.where(~staff).select("user_id")
+    ours = users.where(staff).select(F.col("user_id").alias("org_created_by"), F.lit(True).alias("by_staff"))
+    first = memberships.join(outside, "user_id").groupBy("org").agg(F.min_by("user_id", F.struct("joined_at", "user_id")).alias("first_user"))
+    m = memberships.join(first, "org", "left").join(ours, "org_created_by", "left")
+    maker = F.col("org_created_by")
+    own = maker.isNull() | (maker == F.col("user_id")) | (F.coalesce("by_staff", F.lit(False)) & F.coalesce(F.col("first_user") == F.col("user_id"), F.lit(False)))
+    mine = m.groupBy("user_id").agg(F.max(own).alias("__own"))
+    return users.where(~staff).join(mine, "user_id", "left").where(F.coalesce("__own", F.lit(True))).drop("__own")

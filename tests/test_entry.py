@@ -16,6 +16,7 @@ def test_the_rest_imports_without_llm(tmp_path):
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(os.path.join(root, "factloom"), tmp_path / "factloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(os.path.join(root, name), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert not [n for n in q if n.startswith('op') or n == 'pipeline'], q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": os.environ["PATH"]})

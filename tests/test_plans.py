@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import normalize as N
-from factloom.operators import funnel, health, identity, outcomes
+from factloom.operators import facts, funnel, health, identity, messages, outcomes
 from factloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +49,19 @@ def test_line_days(spark):
     assert [(r.status, r.connected_minutes, r.down_minutes, r.unknown_minutes) for r in days] == [("down", 30, 235, 1175), ("unknown", 0, 0, 120)]
 
 
+def test_rules_that_the_tables_do_not_reach(spark):
+    rows = [("p", 1, None, "u"), ("p", 2, dt.datetime(2026, 1, 1), "v"), ("p", 3, dt.datetime(2026, 1, 2), "w"), ("p", 4, None, "x")]
+    m = spark.createDataFrame(rows, "person string, id int, at timestamp, text string")
+    assert {r.id: r.previous_text for r in messages.previous_message(m, "person", "at", "id").collect()} == {1: None, 2: None, 3: "v", 4: None}
+    c = spark.createDataFrame([("a", "s", "2"), ("b", "s", "2")], "natural_key string, source string, content_hash string")
+    live = spark.createDataFrame([("a", "s", "1", "once"), ("b", "s", "1", "snapshot")], "natural_key string, source string, content_hash string, family string")
+    assert {r.natural_key: r.change for r in facts.diff(c, live, ["s"], ("once",)).collect()} == {"a": "unchanged", "b": "corrected"}
+    e = spark.createDataFrame([(1, "x", "New", None, None, False), (1, "x", "Old", None, None, False), (2, "n", "None", None, None, False)], "card_id int, value string, stage_name string, previous_value string, previous_name string, is_first boolean").withColumn("changed_at", F.lit("2026-01-01").cast("date"))
+    cards = spark.createDataFrame([(1,), (2,)], "card_id int").withColumn("created_at", F.lit("2025-01-01").cast("date"))
+    told = spark.createDataFrame([("x", "Old", "sale", 0.9), ("n", "None", "none", 0.9)], "stage_id string, stage_name string, meaning string, confidence double")
+    assert [(r.card_id, r.step) for r in funnel.stage_events(e, cards, told).collect()] == [(1, "sale")]
+
+
 def test_normal_forms(spark):
     def one(f, *texts):
         df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")

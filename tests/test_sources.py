@@ -35,9 +35,9 @@ def test_mirrors(spark):
     assert sorted(x.id for x in mirrors.bronze(new, stored, ["id"]).collect()) == [2, 3]
     c = spark.createDataFrame([("a", "eur", 100, 40, "succeeded"), ("a", "eur", 5, None, "succeeded"), ("a", "usd", 9, 0, "failed")], "customer string, currency string, amount_minor long, amount_refunded long, status string")
     assert [x.paid for x in mirrors.net_paid(c).collect()] == [{"eur": 65}]
-    users = spark.createDataFrame([("s", "s@us"), ("a", "a@x"), ("b", "b@x"), ("c", "c@x")], "user_id string, email string")
-    members = spark.createDataFrame([("o", "s", 1), ("o", "a", 2), ("o", "b", 3)], "org string, user_id string, joined_at int")
-    assert sorted(x.user_id for x in mirrors.signups(users, members, F.col("email").endswith("@us")).collect()) == ["a", "c"]
+    users = spark.createDataFrame([("s", "s@us"), ("a", "a@x"), ("b", "b@x"), *[(x, f"{x}@x") for x in "cdef"]], "user_id string, email string")
+    members = spark.createDataFrame([("o", "s", 1, "s"), ("o", "a", 2, "s"), ("o", "b", 3, "s"), ("p", "a", 1, None), ("p", "d", 2, None), ("q", "a", 1, "e"), ("q", "e", 2, "e"), ("q", "f", 3, "e")], "org string, user_id string, joined_at int, org_created_by string")
+    assert sorted(x.user_id for x in mirrors.signups(users, members, F.col("email").endswith("@us")).collect()) == ["a", "c", "d", "e"]
 
 
 def test_stream_sessions_and_appends(spark, tmp_path):
