@@ -36,8 +36,8 @@ MIN_DOCS = 4
 SIGMA, LIFT = 5.0, 3.0
 KEEP = 0.5
 STEPS, RATE, RIDGE = 300, 0.2, 1e-4
-#: Words held between texts, about 250 bytes each; emptied at the end of a task.
-MEMORY = 150_000
+#: Words held between texts of a worker, about 250 bytes each: 50 MB at most.
+MEMORY = 200_000
 #: Entries of the sample's features that are counted at once.
 PART = 1_000_000
 
@@ -103,19 +103,6 @@ def features(text: str | None) -> np.ndarray:
     return found[found >= 0]
 
 
-def _forgetting(run):
-    """The task's function, with the memory of words emptied at its end: the worker's
-    next task may be of another stage."""
-
-    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            _memory.clear()
-
-    return outer
-
-
 def telling(idx: np.ndarray, grade: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Features whose share of documents differs between grades beyond chance: the
     difference of a grade's share and the others' is SIGMA standard errors or more,
@@ -185,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             for part in portions(batch, 0):
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([features(t).tobytes() for t in part.column(0).to_pylist()], pa.binary())], names=["grade", "f"])
 
-    rows = docs.join(some, "doc_id").select("text", "grade").mapInArrow(_forgetting(run), "grade int, f binary").toArrow()
+    rows = docs.join(some, "doc_id").select("text", "grade").mapInArrow(run, "grade int, f binary").toArrow()
     order = np.argsort([xxhash.xxh64_intdigest(f.as_buffer()) for f in rows["f"]], kind="stable")  # the same sum whatever the order of rows
     rows = rows.take(pa.array(order)).combine_chunks()
     if not len(rows):
@@ -219,7 +206,7 @@ def _scores(w: np.ndarray, t: np.ndarray, id_at: int, text_at: int, make):
             c0, c1 = _sigmoid(t[0] - z), _sigmoid(t[1] - z)
             yield pa.RecordBatch.from_arrays(*make(batch, np.round((1 - c0) + (1 - c1), 9), np.round(1 - c1, 9)))
 
-    return _forgetting(run)
+    return run
 
 
 def selected(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
@@ -233,4 +220,4 @@ def selected(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int
             next(_scores(w, t, 0, at, lambda b, e, p: tails.append(p) or ([pa.array(p)], ["p"]))(iter([batch])))
             yield batch.filter(pa.array(tails[0] >= keep)).select(names)
 
-    return docs.mapInArrow(_forgetting(run), docs.schema)
+    return docs.mapInArrow(run, docs.schema)
