@@ -10,7 +10,7 @@ id, so a run can be repeated and joined with others.
 A margin's target is given as a power of its values' tokens (1: as they are, 0: all
 alike), which lifts rare values over a source that holds a third of all rows.
 
-The topic column stands for a topic model's output: where the table has none, it is
+The topic column, where the table has one, is a topic model's output; else it is
 the first word's bucket of TOPICS.
 
 Everything is built-in column functions. Documents are read by column: per-document
@@ -55,9 +55,10 @@ def chance(id_: Column) -> Column:
 
 
 def margins(docs: DataFrame) -> list[Column]:
-    """source, lang and topic of a document; a null source or language is '(none)'."""
+    """source, lang and topic of a document; a null source, language or told topic is '(none)'."""
     label = lambda c: F.coalesce(docs[c].cast("string"), F.lit("(none)")).alias(c)
-    return [label("source"), label("lang"), topic(docs["text"].cast("string")).alias("topic")]
+    told = label("topic") if "topic" in docs.columns else topic(docs["text"].cast("string")).alias("topic")
+    return [label("source"), label("lang"), told]
 
 
 def raked(cells: DataFrame, keep: float = KEEP, powers: dict = POWERS, sweeps: int = SWEEPS) -> DataFrame:

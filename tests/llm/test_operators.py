@@ -259,6 +259,12 @@ def test_mixing_equals_sql(spark, tmp_path):
     assert kept == Counter(k[0] for k, n in want.items() for _ in range(n) if k[6])
 
 
+def test_mixing_takes_the_topics_of_the_table(spark):
+    df = mix_rows(spark).selectExpr("*", "case when doc_id % 3 = 0 then null else concat('about ', doc_id % 3) end as topic")
+    got = mixing.mixed(df).collect()
+    assert len(got) == df.count() and {r.topic for r in got} == {"(none)", "about 1", "about 2"}
+
+
 def test_mixing_reaches_its_margins(spark):
     rows = mixing.mixed(mix_rows(spark)).collect()
     cells, total = defaultdict(float), sum(r.n_tokens for r in rows)
