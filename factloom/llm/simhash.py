@@ -307,6 +307,8 @@ def near_components(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_co
 K, SIMILAR = 5, 0.8
 #: Rows of three longs at most (about 40 MB) that are sent to the tasks that read texts or keys.
 SENT = 1_000_000
+#: Segments of the hash space in which a set's members are counted.
+SEGMENTS = 256
 #: Documents whose shingles are counted to put common ones last, and the common ones kept.
 SAMPLE, COMMON = 4000, 200_000
 
@@ -321,6 +323,12 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(s.tobytes(), SEED), "big", signed=True)
 
 
+def segment_counts(s: np.ndarray) -> bytes:
+    """Members of the set in each segment of the hash space, 255 at most. The Manhattan
+    distance of two sets' counts is a lower bound of their symmetric difference."""
+    return np.minimum(np.bincount(s.view(np.uint64) >> np.uint64(56), minlength=SEGMENTS), 255).astype(np.uint8).tobytes()
+
+
 def least_shared(n: int, similar: float) -> int:
     """Members that a set of n shares at least with any set at this similarity."""
     return int(np.ceil(similar * n - 1e-9))
@@ -348,8 +356,9 @@ def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: in
 
     Candidates are complete: sets of this similarity share so many members that, in any
     one order of all shingles, they share one of the first n - least_shared(n) + 1 of
-    each. The order puts common shingles last. Each pair that ties two documents is
-    verified on their whole sets. So that a crowd of near copies does not become all its
+    each. The order puts common shingles last. A candidate whose segment counts differ
+    by more than two sets of this similarity can is refused; each other pair that ties
+    two documents is verified on their whole sets. So that a crowd of near copies does not become all its
     pairs, holders of a shingle are first compared with its least and its greatest holder,
     and other pairs only if they are in no common group by then. Up to `limit` keys are
     broadcast. carried: with text_hash (xxhash64 of the text). Edge cases are those of
@@ -365,11 +374,12 @@ def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: in
         known, rank = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                ids, n, keys = [], [], []
+                ids, n, counts, keys = [], [], [], []
                 for t in (t for part in portions(batch.slice(at, 500), 1) for t in part.column(1).to_pylist()):
                     s = shingle_set(t, k)
                     ids.append(set_id(s))
                     n.append(len(s))
+                    counts.append(segment_counts(s))
                     first = len(s) - least_shared(len(s), similar) + 1
                     if len(known) and len(s):
                         i = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -377,9 +387,9 @@ def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: in
                     keys.append(s[:first])
                 offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), batch.column(2).slice(at, 500), pa.array(ids, pa.int64()), pa.array(n, pa.int32()), lists], names=["doc_id", "text_hash", "id", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), batch.column(2).slice(at, 500), pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(counts, pa.binary()), lists], names=["doc_id", "text_hash", "id", "n", "counts", "keys"])
 
-    base = cut(d.mapInArrow(prints, "doc_id long, text_hash long, id long, n int, keys array<long>"))
+    base = cut(d.mapInArrow(prints, "doc_id long, text_hash long, id long, n int, counts binary, keys array<long>"))
     rows = base.select("id", "n", F.explode("keys").alias("key"))
     shared = cut(rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
     held = cut(rows.join(hinted(shared, limit), "key").select("key", "id", "n", "low", "high").distinct())
@@ -417,9 +427,22 @@ def _similar_sets(pairs: DataFrame, base: DataFrame, docs: DataFrame, k: int, si
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), lists], names=["id", "members"])
 
-    sizes = base.select("id", "n").distinct()
-    sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-    sized = cut(sized.where(F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b") - 1e-9))
+    def may_be_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                n = some.column(2).to_numpy().astype(np.int64) + some.column(3).to_numpy()
+                x, y = (np.frombuffer(b"".join(some.column(i).to_pylist()), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for i in (4, 5))
+                far = np.abs(x - y).sum(1, dtype=np.int64)
+                # sets that share s of n members in all differ in n - 2 s, and s is similar / (1 + similar) n at least
+                ok = far <= n * (1 - similar) / (1 + similar) + 1e-6
+                yield some.filter(pa.array(ok)).select([0, 1, 2, 3])
+
+    sizes = base.select("id", "n", "counts").dropDuplicates(["id"])
+    of = lambda e: sizes.select(F.col("id").alias(e), F.col("n").alias(f"n_{e}"), F.col("counts").alias(f"c_{e}"))
+    sized = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "c_a", "c_b")
+    sized = sized.where(F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b") - 1e-9)
+    sized = cut(sized.mapInArrow(may_be_near, "a long, b long, n_a int, n_b int"))
     ends = hinted(cut(sized.select(F.explode(F.array("a", "b")).alias("id")).distinct()), SENT)
     at = hinted(cut(base.join(ends, "id").groupBy("id").agg(F.min("doc_id").alias("__at")).select("__at").distinct()), SENT)
     there = docs.join(at, docs["doc_id"].eqNullSafe(at["__at"]), "left_semi").select("text")

@@ -498,3 +498,12 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         else:
             assert {r.doc_id for r in docs.collect()} == before.keys()
     assert hashlib and seen
+
+
+def test_segment_counts_bound_the_difference():
+    rng = np.random.default_rng(21)
+    for n in (0, 1, 50, 5000):
+        x = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(-(2**63), 2**63 - 1, n // 3)]))
+        a, b = (np.frombuffer(simhash.segment_counts(s), np.uint8).astype(int) for s in (x, y))
+        assert np.abs(a - b).sum() <= len(np.setxor1d(x, y)) and a.sum() == len(x)
