@@ -423,54 +423,65 @@ def test_cross_entropy_against_a_plain_model(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + corpus(n=30) + [(None, "x y")]
     labels = spark.createDataFrame([(4, 1, 0), (10, 1, 0), (9, 1, 1), (8, 0, 0), (None, 1, 0), (12, 1, None), (12, 0, 0)], "doc_id long, quality int, toxic int")
     target = {4, 10, 12}
-    sym = cross_entropy.SYMBOL
     counts = [Counter(), Counter()]
 
-    def grams(t):
-        s = [int(sym[b]) for b in b"\n\n" + (t or "").encode()]
-        return list(zip(s, s[1:], s[2:]))
+    def split(t):
+        return (t or "").encode().lower().split()
 
     for d, t in rows:
-        g = grams(t)
-        counts[1].update(g)
+        counts[1].update(split(t))
         if d in target:
-            counts[0].update(g)
+            counts[0].update(split(t))
+    size = sum(counts[0].values())
+    share = size / sum(counts[1].values())
     models = []
-    for c3 in counts:
-        c2, c1, seen3, seen2 = Counter(), Counter(), defaultdict(set), defaultdict(set)
-        n3, n2 = Counter(), Counter()
-        for (a, b, c), n in c3.items():
-            c2[b, c] += n
-            c1[c] += n
-            seen3[a, b].add(c)
-            seen2[b].add(c)
-            n3[a, b] += n
-            n2[b] += n
-        total = sum(c1.values())
-
-        def p(g, c3=c3, c2=c2, c1=c1, seen3=seen3, seen2=seen2, n3=n3, n2=n2, total=total):
-            a, b, c = g
-            x = (c1[c] + 1) / (total + 128)
-            if n2[b]:
-                x = (c2[b, c] + len(seen2[b]) * x) / (n2[b] + len(seen2[b]))
-            if n3[a, b]:
-                x = (c3[g] + len(seen3[a, b]) * x) / (n3[a, b] + len(seen3[a, b]))
-            return -np.log2(x)
-
-        models.append(p)
+    for i, c in enumerate(counts):
+        pair, one, after = Counter(), Counter(), defaultdict(set)
+        for w in c:
+            b = b" " + w + b" "
+            for x, y in zip(b, b[1:]):
+                pair[x, y] += 1
+                one[y] += 1
+                after[x].add(y)
+        total = sum(one.values())
+
+        def spelling(w, pair=pair, one=one, after=after, total=total):
+            p, b = 0.0, b" " + w + b" "
+            for x, y in zip(b, b[1:]):
+                q, n = (one[y] + 1) / (total + 256), sum(pair[x, z] for z in after[x])
+                p += np.log2((pair[x, y] + len(after[x]) * q) / (n + len(after[x])) if n else q)
+            return p
+
+        drawn = sum(1 - (1 - share) ** n for n in c.values()) if i else len(c)
+
+        def loss(w, c=c, spelling=spelling, drawn=drawn, r=share if i else 1):
+            seen = np.log2(r * c[w]) if c[w] else -np.inf
+            return np.log2(size + drawn) - np.logaddexp2(seen, np.log2(drawn) + spelling(w))
+
+        models.append({w: loss(w) for w in counts[1]})
     want = defaultdict(list)
     for d, t in rows:
-        g = grams(t)
-        m = [sum(map(p, g)) / len(g) if g else 0.0 for p in models]
-        want[d].append((len(g), *m))
-    got = defaultdict(list)
-    for r in cross_entropy.score(frame(spark, rows).repartition(3), labels).collect():
-        assert abs(r.difference - (r.target_loss - r.background_loss)) < 1e-9
-        got[r.doc_id].append((r.n_tokens, r.target_loss, r.background_loss))
-    assert got.keys() == want.keys()
-    for d in want:
-        np.testing.assert_allclose(sorted(got[d]), sorted(want[d]), atol=1e-4)
+        some = split(t)
+        m = [sum(p[w] for w in some) / len(some) if some else 0.0 for p in models]
+        want[d].append((len(some), *m))
+    for frequent in (cross_entropy.FREQUENT, 20):
+        got = defaultdict(list)
+        for r in cross_entropy.score(frame(spark, rows).repartition(3), labels, frequent=frequent).collect():
+            assert abs(r.difference - (r.target_loss - r.background_loss)) < 1e-8
+            got[r.doc_id].append((r.n_tokens, r.target_loss, r.background_loss))
+        assert got.keys() == want.keys()
+        for d in want:
+            np.testing.assert_allclose(sorted(got[d]), sorted(want[d]), atol=1e-6)
     assert cross_entropy.score(frame(spark, []), labels).collect() == []
+    alone = cross_entropy.score(frame(spark, [(1, "a b"), (2, None)]), labels).collect()  # no document is labelled
+    assert {r.doc_id: r.target_loss for r in alone} == {1: 16.0, 2: 0.0}
+
+
+def test_cross_entropy_tells_words_of_any_script(spark):
+    rows = [(i, " ".join(np.random.default_rng(i).permutation(["мир", "дом", "лес", "река"] if i % 2 else ["рим", "мод", "сел", "акер"]))) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.difference for r in cross_entropy.score(frame(spark, rows), labels).collect()}
+    assert max(got[i] for i in range(1, 40, 2)) < min(got[i] for i in range(0, 40, 2))
 
 
 # the pipeline ----------------------------------------------------------------
