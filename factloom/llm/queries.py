@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import cross_entropy, line_dedup, metric_tree, mixing, multiset_hash, packing, quality, simhash, token_counts, training_order
+from factloom.llm import cross_entropy, fill_middle, line_dedup, metric_tree, mixing, multiset_hash, packing, quality, simhash, token_counts, training_order
 from factloom.llm.tables import table
 
 
@@ -53,6 +53,10 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transformed(table(spark, sf_dir, "documents")))
+
+
 QUERIES = (
     op1_training_order,
     op2_line_dedup,
@@ -64,6 +68,7 @@ QUERIES = (
     op8_document_fingerprints,
     op9_cross_entropy_difference,
     op10_pack_sequences,
+    op12_fill_middle,
 )
 
 
@@ -72,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.query_sql(), "op6_exact_top_k": metric_tree.ORACLE_SQL}
+    return {"op4_mix_sources": mixing.query_sql(), "op6_exact_top_k": metric_tree.ORACLE_SQL, "op12_fill_middle": fill_middle.ORACLE_SQL}
