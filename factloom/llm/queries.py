@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import cross_entropy, fill_middle, line_dedup, metric_tree, mixing, multiset_hash, packing, quality, simhash, token_counts, training_order
+from factloom.llm import cross_entropy, fill_middle, line_dedup, metric_tree, mixing, multiset_hash, packing, quality, simhash, token_counts, toxicity, training_order
 from factloom.llm.tables import table
 
 
@@ -53,6 +53,10 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.transformed(table(spark, sf_dir, "documents")))
 
@@ -68,6 +72,7 @@ QUERIES = (
     op8_document_fingerprints,
     op9_cross_entropy_difference,
     op10_pack_sequences,
+    op11_toxicity,
     op12_fill_middle,
 )
 
