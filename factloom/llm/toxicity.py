@@ -15,6 +15,9 @@ marks or after a word of reporting a term counts as quoted, unless someone is ad
 A logistic curve over the abusive weight, its share of the text and the quoted weight
 gives the score; its coefficients are fitted from PRIOR.
 
+Copies prove nothing anew: a term counts for no more documents than different words
+stand before it, so the odd words of a text with a thousand copies are no terms.
+
 Lexicon, spellings and curve are learned from at most SAMPLE labelled documents that
 are not held out, those whose ids hash lowest; every whole text is scored.
 
@@ -31,7 +34,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,9 +52,9 @@ SAMPLE = 20_000
 HELD_OUT = 2
 THRESHOLD = 0.3
 #: Terms and spellings at most, and candidates for terms whose clean documents are counted.
-LEXICON, SPELLINGS, CANDIDATES = 200, 20_000, 50_000
-#: A term has so many toxic documents, so large a log-likelihood ratio, and is so many
-#: times commoner in toxic documents.
+LEXICON, SPELLINGS, CANDIDATES = 100, 20_000, 50_000
+#: A term has so many toxic documents and words before it, so large a log-likelihood
+#: ratio, and is so many times commoner in toxic documents.
 MIN_DOCS, MIN_G2, LIFT = 6, 25.0, 8.0
 STEM = (3, 10)
 #: Edits by a term's letters: none under 5, one under 9, else two; stems are met exactly.
@@ -64,7 +67,9 @@ CONTEXT = 48
 QUOTED, ADDRESSED = 0.3, 1.3
 #: Bias and slopes of: log abusive weight, log abusive weight a hundred words, log quoted weight.
 PRIOR, RIDGE = np.array([-4.0, 1.0, 1.0, 0.3]), 1.0
-STATES = 20_000
+STATES = 50_000
+#: Bits of the bitmap that tells how many different words stand before a term.
+BITS, FEW_EMPTY = 63, 8
 
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _MARKS = (('"', '"'), ("“", "”"), ("„", "“"), ("«", "»"), ("»", "«"), ("‘", "’"), ("`", "`"))
@@ -345,16 +350,32 @@ def features(texts: list[str], model: Model) -> np.ndarray:
 # -- learning ----------------------------------------------------------------------
 
 
-def candidates(text: str) -> set[str]:
-    """The words of a text and, with a star, the beginnings of its words."""
-    out = set()
-    for w in set(_WORD.findall(text.lower())):
-        if len(w) <= 40:
-            out.add(w)
-        out.update(w[:n] + "*" for n in range(STEM[0], min(STEM[1], len(w) - 1) + 1))
+def candidates(text: str, known: frozenset | None = None) -> dict[str, int]:
+    """The words of a text and, with a star, the beginnings of its words (of those known
+    alone, if told), each with a bitmap of the words that stand before it."""
+    out: dict[str, int] = {}
+    names: dict[str, list[str]] = {}
+    before = ""
+    for w in _WORD.findall(text.lower()):
+        if w not in names:
+            all_ = [w] * (len(w) <= 40) + [w[:n] + "*" for n in range(STEM[0], min(STEM[1], len(w) - 1) + 1)]
+            names[w] = all_ if known is None else [x for x in all_ if x in known]
+        if names[w]:
+            bit = 1 << zlib.crc32(before.encode()) % BITS
+            for name in names[w]:
+                out[name] = out.get(name, 0) | bit
+        before = w
     return out
 
 
+def apart(docs: int, bits: int) -> float:
+    """How many documents a term has that do not copy each other: no more than there are
+    different words before it, by linear counting (a bitmap nearly full tells no more than
+    that they are many)."""
+    empty = BITS - bits.bit_count()
+    return float(docs) if empty < FEW_EMPTY else min(float(docs), -BITS * math.log(empty / BITS))
+
+
 def log_odds(t, c, n_toxic: int, n_clean: int):
     return np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
 
@@ -366,14 +387,14 @@ def g2(t, c, n_toxic: int, n_clean: int):
     return 2 * sum(a * np.log(np.maximum(a, 1e-12) * n / np.maximum(r * k, 1e-12)) for (a, k), r in zip(cells, rows))
 
 
-def choose(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, most: int = LEXICON) -> list[Term]:
+def choose(rows: list[tuple[str, float, float]], n_toxic: int, n_clean: int, most: int = LEXICON) -> list[Term]:
     """Terms from (candidate, toxic documents, clean documents): surest first, a whole
-    word before a stem of the same counts, and no stem of what was taken or the reverse."""
+    word before a stem that is about as sure, and no stem of what was taken or the reverse."""
     if not rows or not n_toxic or not n_clean:
         return []
     t, c = (np.array([r[k] for r in rows], float) for k in (1, 2))
     sure, odds = g2(t, c, n_toxic, n_clean), log_odds(t, c, n_toxic, n_clean)
-    order = sorted((i for i in range(len(rows)) if t[i] >= MIN_DOCS and sure[i] >= MIN_G2 and odds[i] >= math.log(LIFT)), key=lambda i: (-round(sure[i], 6), rows[i][0].endswith("*"), -len(rows[i][0]), rows[i][0]))
+    order = sorted((i for i in range(len(rows)) if t[i] >= MIN_DOCS and sure[i] >= MIN_G2 and odds[i] >= math.log(LIFT)), key=lambda i: (-round(math.log(sure[i]), 1), rows[i][0].endswith("*"), -len(rows[i][0]), rows[i][0]))
     out: list[Term] = []
     for i in order:
         if len(out) == most:
@@ -435,19 +456,25 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not n_toxic or not n_clean:
         return Model()
 
-    def toxic_ones(texts, toxic):
-        seen = Counter(w for t in texts for w in candidates(t))
-        return {w: {"docs": k} for w, k in seen.items()}
-
-    often = _counted(rows.where("toxic = 1"), toxic_ones, "docs").groupBy("word").agg(F.sum("docs").alias("t")).where(F.col("t") >= MIN_DOCS)
-    often = {r["word"]: r["t"] for r in often.orderBy(F.desc("t"), "word").limit(CANDIDATES).collect()}
-
-    def clean_ones(texts, toxic):
-        seen = Counter(w for t in texts for w in candidates(t) if w in often)
-        return {w: {"docs": k} for w, k in seen.items()}
-
-    clean = {r["word"]: r["c"] for r in _counted(rows.where("toxic <> 1"), clean_ones, "docs").groupBy("word").agg(F.sum("docs").alias("c")).collect()}
-    terms = choose([(w, t, clean.get(w, 0)) for w, t in often.items()], n_toxic, n_clean)
+    def told(known: frozenset | None):
+        def of(texts, toxic):
+            out: dict[str, dict] = {}
+            for t in texts:
+                for name, bits in candidates(t, known).items():
+                    o = out.setdefault(name, {"docs": 0, "bits": 0})
+                    o["docs"] += 1
+                    o["bits"] |= bits
+            return out
+
+        return of
+
+    def summed(part: DataFrame, known: frozenset | None) -> DataFrame:
+        return _counted(part, told(known), "docs bits").groupBy("word").agg(F.sum("docs").alias("n"), F.bit_or("bits").alias("bits"))
+
+    often = summed(rows.where("toxic = 1"), None).where((F.col("n") >= MIN_DOCS) & (F.bit_count("bits") >= MIN_DOCS - 1))
+    often = {r["word"]: apart(r["n"], r["bits"]) for r in often.orderBy(F.desc("n"), "word").limit(CANDIDATES).collect()}
+    clean = {r["word"]: apart(r["n"], r["bits"]) for r in summed(rows.where("toxic <> 1"), frozenset(often)).collect()}
+    terms = choose([(w, t, clean.get(w, 0.0)) for w, t in often.items()], n_toxic, n_clean)
 
     def spelled(texts, toxic):
         met = {(doc, rest[0]): rest[1] for doc, *rest in found([t.lower() for t in texts], terms) if doc is not None}

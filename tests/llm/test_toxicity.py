@@ -113,6 +113,15 @@ def test_terms_are_those_of_the_counts():
     assert (T.fit(x, np.zeros(80)) == T.PRIOR).all()
 
 
+def test_copies_prove_nothing():
+    text = "Alpha beta gamma; alpha beta"
+    one = T.candidates(text)
+    assert set(one) == {"alpha", "beta", "gamma", "alp*", "alph*", "bet*", "gam*", "gamm*"}
+    assert [one[w].bit_count() for w in ("alpha", "beta", "gamma")] == [2, 1, 1]
+    assert T.candidates(text, frozenset({"beta", "gam*"})).keys() == {"beta", "gam*"}
+    assert T.apart(900, 1) < 1.1 and T.apart(900, (1 << T.BITS) - 1) == 900 and T.apart(3, 0b11111) == 3
+
+
 def corpus(n=400):
     rng = random.Random(1)
     calm = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
