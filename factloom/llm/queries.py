@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import cross_entropy, fill_middle, line_dedup, metric_tree, mixing, multiset_hash, packing, quality, simhash, token_counts, toxicity, training_order
+from factloom.llm import cross_entropy, fill_middle, line_dedup, metric_tree, mixing, multiset_hash, packing, quality, simhash, token_counts, toxicity, training_order, vantage_tree
 from factloom.llm.tables import table
 
 
@@ -61,6 +62,12 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.transformed(table(spark, sf_dir, "documents")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", relabelled)
+    return vantage_tree.hard_negatives(vectors, every=100, positives=5, negatives=5, share=80).drop("positive_rank")
+
+
 QUERIES = (
     op1_training_order,
     op2_line_dedup,
@@ -74,6 +81,7 @@ QUERIES = (
     op10_pack_sequences,
     op11_toxicity,
     op12_fill_middle,
+    op13_hard_negatives,
 )
 
 
@@ -82,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.query_sql(), "op6_exact_top_k": metric_tree.ORACLE_SQL, "op12_fill_middle": fill_middle.ORACLE_SQL}
+    return {"op4_mix_sources": mixing.query_sql(), "op6_exact_top_k": metric_tree.ORACLE_SQL, "op12_fill_middle": fill_middle.ORACLE_SQL, "op13_hard_negatives": vantage_tree.ORACLE_SQL}
