@@ -3,8 +3,6 @@ whole tables, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,31 +11,10 @@ from factloom.functions import text as T
 from factloom.operators import facts as C
 from factloom.operators import funnel, health, identity, messages, outcomes, serving
 from factloom.operators.graph import connected_components
-from factloom.plans import views
+from factloom.plans import structures, views  # noqa: F401  (structures registers its own)
+from factloom.plans.registry import oracle_sql, queries, query  # noqa: F401
 from factloom.plans.views import CONTACTED, FACTS, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
 
 def day(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
