@@ -3,13 +3,17 @@ come late, with their SQL. The tables are made from the test tables by rule."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import canonical
-from factloom.operators import runs, statements
+from factloom.operators import ownership, runs, statements
 from factloom.plans.registry import query
 from factloom.plans.views import table
+from factloom.session import shared_dir
+from factloom.sources import stores
 
 #: Places of the event types, in order of their names.
 _TYPES = ("click", "error", "purchase", "signup", "view")
@@ -175,3 +179,94 @@ def canonical_payloads(spark: SparkSession, sf: str) -> DataFrame:
     e = e.select("event_id", F.struct(F.col("value"), F.col("event_id").alias("10"), F.col("ts").cast("timestamp").alias("at"), F.array("event_type", F.lit(None).cast("string")).alias("tags"), F.col("user_id").alias("2"), F.lit(None).cast("string").alias("gone")).alias("payload"))
     text = canonical.canonical_json(F.col("payload"), e.schema["payload"].dataType, frozenset(["gone"]))
     return e.select("event_id", text.alias("text")).withColumn("hash", F.sha2("text", 256))
+
+
+# --- kept between runs ------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""WITH p AS (SELECT c_custkey, ['email:c' || c_custkey || '@x.io', 'phone:+' || (c_custkey % 400), 'uid:' || c_custkey] AS keys FROM customer),
+r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'stripe' ELSE 'web' END AS source,
+  list_filter(list_distinct([CASE WHEN o_orderkey % 2 = 0 THEN 'email:c' || o_custkey || '@x.io' END, CASE WHEN o_orderkey % 5 = 0 THEN 'phone:+' || (o_orderkey % 400) END, CASE WHEN o_orderkey % 7 = 0 THEN 'uid:' || o_custkey END]), lambda x: x IS NOT NULL) AS keys, o_custkey FROM orders),
+m AS (SELECT c_custkey, source, o_orderkey, pk.k FROM (SELECT c_custkey, unnest(keys) AS k FROM p) pk JOIN (SELECT o_orderkey, source, o_custkey, unnest(keys) AS k FROM r) rk ON pk.k = rk.k WHERE NOT (rk.o_custkey = pk.c_custkey AND o_orderkey % 11 = 0))
+SELECT 'p' || c_custkey AS person_id, source, CAST(o_orderkey AS VARCHAR) AS record_id, string_agg(DISTINCT k, ',' ORDER BY k) AS keys FROM m GROUP BY c_custkey, source, o_orderkey""")
+def late_joins(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as mirrored records in a key index on disk, written in two runs; customers as
+    people, who hold every eleventh of their own orders already."""
+    o = table(spark, sf, "orders")
+    source = F.when(F.expr("o_orderkey % 3 = 0"), "stripe").otherwise("web")
+    some = lambda when, what: F.when(F.expr(when), F.array(what)).otherwise(F.array().cast("array<string>"))
+    records = o.select(
+        source.alias("source"),
+        F.col("o_orderkey").cast("string").alias("record_id"),
+        some("o_orderkey % 2 = 0", F.concat(F.lit("C"), "o_custkey", F.lit("@X.io"))).alias("emails"),
+        some("o_orderkey % 5 = 0", F.concat(F.lit("+"), F.expr("o_orderkey % 400"))).alias("phones"),
+        some("o_orderkey % 7 = 0", F.col("o_custkey").cast("string")).alias("user_ids"),
+    )
+    folder = _folder(spark, "late-joins")
+    stores.append_keys(records.where("record_id % 2 = 0"), folder, 1)
+    stores.append_keys(records.where("record_id % 2 <> 0"), folder, 2)
+    held = o.where("o_orderkey % 11 = 0").groupBy("o_custkey").agg(F.collect_list(F.concat_ws("|", source, "o_orderkey")).alias("presences"))
+    people = table(spark, sf, "customer").join(held, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        F.concat(F.lit("p"), "c_custkey").alias("person_id"),
+        F.array(F.concat(F.lit("email:c"), "c_custkey", F.lit("@x.io")), F.concat(F.lit("phone:+"), F.expr("c_custkey % 400")), F.concat(F.lit("uid:"), "c_custkey")).alias("identity_keys"),
+        "presences",
+    )
+    got = stores.late_joins(spark, people, folder)
+    return got.select("person_id", "source", "record_id", F.array_join("keys", ",").alias("keys"))
+
+
+@query("""WITH m AS (SELECT conv_id, 'k' || turn || ':' || (conv_id % 18) AS message_key, 'a' || (conv_id % 6) AS address, turn, role, coalesce(text, '') AS text FROM conversations),
+d AS (SELECT address, message_key, conv_id, turn, role, text, row_number() OVER (PARTITION BY address, message_key ORDER BY CAST(conv_id AS VARCHAR), turn, role, text) AS n FROM m)
+SELECT CAST(conv_id AS VARCHAR) AS unit, address, message_key, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END AS run, length(text) AS n_chars FROM d WHERE n = 1 AND address NOT IN ('a4')""")
+def message_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as units, read in two runs: in the second every third one has moved and
+    those of address a4 are wanted no more."""
+    folder = _folder(spark, "messages")
+    c = table(spark, sf, "conversations").select(F.lit("chat").alias("source"), F.col("conv_id").cast("string").alias("unit"), F.concat(F.lit("a"), F.expr("conv_id % 6")).alias("address"), F.concat(F.lit("k"), "turn", F.lit(":"), F.expr("conv_id % 18")).alias("message_key"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"), "conv_id")
+    at = lambda h: F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * h))
+
+    def read(due: DataFrame) -> DataFrame:
+        rows = c.join(due.select("source", "unit"), ["source", "unit"], "left_semi")
+        return rows.select("source", "unit", F.lit(False).alias("failed"), "message_key", F.timestamp_seconds(F.col("turn")).alias("at"), F.lit("in").alias("direction"), F.col("role").alias("subject"), F.col("text").alias("body"))
+
+    units = c.select("source", "unit", "address", "conv_id").distinct()
+    stores.refresh_messages(spark, folder, units.select("source", "unit", "address", at(0).alias("activity_at")), read, at(1))
+    moved = units.where("address <> 'a4'").select("source", "unit", "address", F.when(F.expr("conv_id % 3 = 0"), at(2)).otherwise(at(0)).alias("activity_at"))
+    stores.refresh_messages(spark, folder, moved, read, at(3))
+    return stores.stored_messages(spark, folder).select("unit", "address", "message_key", F.col("run").cast("int").alias("run"), F.length("body").cast("long").alias("n_chars"))
+
+
+def _owners(spark: SparkSession, sf: str, now: bool) -> DataFrame:
+    """Users as people; now every tenth one's number has gone to the next user, and every
+    sixteenth is one with the user before."""
+    u = table(spark, sf, "events").select("user_id").distinct()
+    number = F.expr("case when user_id % 10 = 3 then user_id - 1 else user_id end") if now else F.col("user_id")
+    who = F.expr("case when user_id % 16 = 5 then user_id - 1 else user_id end") if now else F.col("user_id")
+    rows = u.select(who.alias("u"), F.concat(F.lit("email:"), "user_id").alias("a"), F.concat(F.lit("phone:"), number).alias("b"), F.concat(F.lit("web:"), "user_id").alias("p"))
+    both = rows.groupBy("u").agg(F.collect_list(F.struct("a", "b")).alias("k"), F.collect_list("p").alias("presences"))
+    person = F.concat(F.lit("email:"), "u").alias("person_key")
+    return both.select(person, F.array_distinct(F.flatten(F.transform("k", lambda x: F.array(x["a"], x["b"])))).alias("identity_keys"), "presences")
+
+
+@query("""WITH f AS (SELECT event_id, user_id, 'email:' || CASE WHEN event_id % 3 <> 0 AND event_id % 4 = 0 AND user_id - 1 IN (SELECT user_id FROM events) THEN user_id - 1 ELSE user_id END AS owner, CASE WHEN event_id % 3 = 0 THEN 'web:' || user_id END AS presence, ['phone:' || (CASE WHEN event_id % 4 = 0 THEN user_id - 1 ELSE user_id END), 'email:' || user_id] AS keys FROM events),
+u AS (SELECT DISTINCT user_id, CASE WHEN user_id % 10 = 3 THEN user_id - 1 ELSE user_id END AS num, CASE WHEN user_id % 16 = 5 THEN user_id - 1 ELSE user_id END AS who FROM events),
+k AS (SELECT key, min('email:' || who) AS p FROM (SELECT 'email:' || user_id AS key, who FROM u UNION ALL SELECT 'phone:' || num, who FROM u) GROUP BY 1),
+pr AS (SELECT 'web:' || user_id AS presence, min('email:' || who) AS p FROM u GROUP BY 1),
+o AS (SELECT f.*, coalesce(pr.p, k1.p, k2.p, owner) AS moved_to FROM f LEFT JOIN pr USING (presence) LEFT JOIN k k1 ON k1.key = keys[1] LEFT JOIN k k2 ON k2.key = keys[2])
+SELECT owner, moved_to, presence, array_to_string(keys, ',') AS keys, count(*) AS facts FROM o WHERE owner <> moved_to AND event_id % 9 <> 0 GROUP BY 1, 2, 3, 4""")
+def ownership_moves(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as facts of who held their presence or first key before, every ninth one
+    taken back; some name the number of the user before."""
+    e = table(spark, sf, "events")
+    e = e.join(e.select((F.col("user_id") + 1).alias("user_id"), F.lit(True).alias("follows")).distinct(), "user_id", "left")
+    user = F.expr("case when event_id % 4 = 0 then user_id - 1 else user_id end")
+    owner = F.expr("case when event_id % 3 <> 0 and event_id % 4 = 0 and follows then user_id - 1 else user_id end")
+    facts = e.select("event_id", F.col("event_id").alias("fact_id"), F.concat(F.lit("email:"), owner).alias("owner"), F.when(F.expr("event_id % 3 = 0"), F.concat(F.lit("web:"), "user_id")).alias("presence"), F.array(F.concat(F.lit("phone:"), user), F.concat(F.lit("email:"), "user_id")).alias("keys"), F.lit(False).alias("standalone"))
+    groups = ownership.fact_groups(facts.where("event_id % 2 = 0"))
+    groups = ownership.updated_groups(groups, facts.where("event_id % 2 <> 0"), facts.where("event_id % 9 = 0"))
+    moved = ownership.moves(groups, _owners(spark, sf, False), _owners(spark, sf, True))
+    return moved.join(groups.select("subject", "owner", "presence", "keys"), ["subject", "owner"]).groupBy("owner", "moved_to", "presence", F.array_join("keys", ",").alias("keys")).agg(F.sum("facts").alias("facts"))
