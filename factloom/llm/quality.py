@@ -18,7 +18,9 @@ of them, or spread alike over the grades, carries no weight. Every document of t
 
 from __future__ import annotations
 
+import functools
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,22 +52,44 @@ _shapes = (
 )
 #: What is held of a word: its features (-1 for none) and the hash of its shape.
 HELD = np.dtype([("f", "<i4", 4), ("shape", "<u8")])
+_PACKED = struct.Struct("<4iQ")
+_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
+_hash = xxhash.xxh64_intdigest
 _memory: dict[str, bytes] = {}
 
 
-def _features(word: str) -> bytes:
-    """HELD of the word: features of it and its beginnings, hash of its shape."""
-    core = LETTERS.search(word)
+def _shape(word: str) -> str:
+    """The kinds of signs of a word's first 40, a run of a kind as one."""
     shape = word[:40]
     for find, put in _shapes:
         shape = find.sub(put, shape)
-    f = [-1] * 4
-    if core:
-        w = core.group().lower()
-        of = {"w " + w} | {f"p {w[:n]}" for n in (4, 5, 6) if len(w) >= n}
-        for i, x in enumerate(of):
-            f[i] = xxhash.xxh64_intdigest(x) % DIM
-    return np.array([(f, xxhash.xxh64_intdigest("s " + shape))], HELD).tobytes()
+    return shape
+
+
+def _features(word: str) -> bytes:
+    """HELD of the word: features of it and its beginnings, hash of its shape. Small letters
+    with or without a capital and one mark after them, which nearly all words are,
+    need no expression."""
+    body, mark = (word, "") if word[-1].isalnum() else (word[:-1], word[-1])
+    if len(word) <= 40 and body.isalpha():
+        w = body.lower()
+        shape = "x" + mark if body.islower() else "Xx" + mark if body[1:].islower() and _CAPITAL.match(body) else _shape(word)
+    else:
+        core = LETTERS.search(word)
+        w, shape = core.group().lower() if core else "", _shape(word)
+    n = len(w)
+    return _PACKED.pack(
+        _hash("w " + w) % DIM if n else -1,
+        _hash("p " + w[:4]) % DIM if n >= 4 else -1,
+        _hash("p " + w[:5]) % DIM if n >= 5 else -1,
+        _hash("p " + w[:6]) % DIM if n >= 6 else -1,
+        _shape_hash(shape),
+    )
+
+
+@functools.lru_cache(1 << 12)
+def _shape_hash(shape: str) -> int:
+    return _hash("s " + shape)
 
 
 def features(text: str | None) -> np.ndarray:
