@@ -28,9 +28,8 @@ def _key_order(key: str) -> tuple:
 
 def _quoted(text: Column) -> Column:
     out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    odd = out
-    for code in range(0x20):
-        odd = F.replace(odd, F.lit(chr(code)), F.lit(SHORT.get(chr(code), f"\\u{code:04x}")))
+    marks = F.array(*[F.struct(F.lit(chr(n)).alias("c"), F.lit(SHORT.get(chr(n), f"\\u{n:04x}")).alias("e")) for n in range(0x20)])
+    odd = F.aggregate(marks, out, lambda told, m: F.replace(told, m["c"], m["e"]))
     return F.concat(F.lit('"'), F.when(text.rlike("[\\x00-\\x1f]"), odd).otherwise(out), F.lit('"'))
 
 
@@ -112,9 +111,10 @@ def canonical_json(x: Column, kind: S.DataType, absent: frozenset[str] = frozens
 
 def content_hash(type_: Column, occurred_at: Column, date_basis: Column, contact: Column, payload: Column, kind: S.DataType) -> Column:
     """The hash of what a fact asserts; occurred_at is a time."""
-    given = [_null_or(_quoted(type_.cast("string"))), _null_or(_instant(occurred_at)), _null_or(_quoted(date_basis.cast("string"))), _null_or(_quoted(contact.cast("string"))), canonical_json(payload, kind)]
-    return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *given), F.lit("]")), 256)
+    return hash_of(type_, occurred_at, date_basis, contact, canonical_json(payload, kind))
 
 
-def _null_or(text: Column) -> Column:
-    return F.coalesce(text, F.lit("null"))
+def hash_of(type_: Column, occurred_at: Column, date_basis: Column, contact: Column, payload_text: Column) -> Column:
+    """The same of a payload that is canonical text already."""
+    told = [_quoted(type_.cast("string")), _instant(occurred_at), _quoted(date_basis.cast("string")), _quoted(contact.cast("string")), payload_text]
+    return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(t, F.lit("null")) for t in told]), F.lit("]")), 256)

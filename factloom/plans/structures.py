@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import canonical
-from factloom.operators import ownership, runs, statements
+from factloom.operators import families, ownership, runs, statements
 from factloom.plans.registry import query
 from factloom.plans.views import table
 from factloom.session import shared_dir
@@ -270,3 +270,69 @@ def ownership_moves(spark: SparkSession, sf: str) -> DataFrame:
     groups = ownership.updated_groups(groups, facts.where("event_id % 2 <> 0"), facts.where("event_id % 9 = 0"))
     moved = ownership.moves(groups, _owners(spark, sf, False), _owners(spark, sf, True))
     return moved.join(groups.select("subject", "owner", "presence", "keys"), ["subject", "owner"]).groupBy("owner", "moved_to", "presence", F.array_join("keys", ",").alias("keys")).agg(F.sum("facts").alias("facts"))
+
+
+# --- candidates and emissions ----------------------------------------------------------
+
+
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(epoch_us({0}) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z'"
+
+
+@query(f"""WITH e AS (SELECT *, {_ISO.format("ts")} AS iso, CAST(floor(value * 100) AS BIGINT) AS minor, ['active', 'canceled', 'trialing', 'past_due', 'incomplete_expired'][CAST(event_id % 5 AS INT) + 1] AS sub FROM events),
+f AS (
+  SELECT 'posthog|visit|' || event_id AS natural_key, 'posthog_visit' AS family, 'website_visit' AS type, iso AS told_at, 'visit_started_at' AS date_basis, CAST(user_id AS VARCHAR) AS contact,
+    '{{"endedAt":null,"entryPath":"/p","firstUrl":null,"pageviews":' || (event_id % 9) || ',"referrer":null,"sessionId":"s' || user_id || '"}}' AS payload, event_id % 10 = 0 AS machine FROM e WHERE event_type = 'view'
+  UNION ALL SELECT 'clerk|signup|u' || event_id, 'clerk_user', 'signup', iso, 'user_created_at', 'u' || event_id, '{{}}', false FROM e WHERE event_type = 'signup' AND event_id % 6 <> 0
+  UNION ALL SELECT 'stripe|payment|' || event_id, 'stripe_money', 'payment', iso, 'created', 'cus' || user_id, '{{"amountMinor":' || minor || ',"amountRefunded":null,"currency":"eur","description":null,"refunded":' || (event_id % 8 = 0) || ',"status":"succeeded"}}', false FROM e WHERE event_type = 'purchase' AND event_id % 4 < 2
+  UNION ALL SELECT 'stripe|refund|' || event_id, 'stripe_money', 'refund', iso, 'created', 'cus' || user_id, '{{"amountMinor":' || minor || ',"charge":null,"currency":"eur","reason":null,"status":"succeeded"}}', false FROM e WHERE event_type = 'purchase' AND event_id % 4 = 2
+  UNION ALL SELECT 'stripe|subscription|' || event_id || '|' || sub, 'stripe_subscription', 'subscription_changed', CASE WHEN sub = 'canceled' OR sub IN ('active', 'trialing') THEN iso END,
+    CASE sub WHEN 'canceled' THEN 'canceled_at' WHEN 'incomplete_expired' THEN 'ended_at' WHEN 'past_due' THEN 'status_changed_at' ELSE 'start_date' END, 'cus' || user_id,
+    '{{"amountMinor":' || minor || ',"cancelAtPeriodEnd":false,"currency":"eur","interval":"month","status":"' || sub || '"}}', false FROM e WHERE event_type = 'purchase' AND event_id % 4 = 3
+  UNION ALL SELECT 'billing|' || event_id || '|u' || user_id || '@x.io', 'billing_credit', 'credit_ran_out', iso, 'recorded_at', NULL, '{{"accountName":null,"accountOrgId":"o","billingEventId":' || event_id || ',"episodeId":' || (event_id % 7) || '}}', false FROM e WHERE event_type = 'error')
+SELECT natural_key, family, type, told_at, date_basis, payload, machine, sha256('["' || type || '",' || coalesce('"' || told_at || '"', 'null') || ',"' || date_basis || '",' || coalesce('"' || contact || '"', 'null') || ',' || payload || ']') AS content_hash FROM f""")
+def candidate_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as records of five mirrored sources."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    null = lambda t, n: F.lit(None).cast(t).alias(n)
+    row = F.concat(F.lit("r"), "user_id").alias("contact_id")
+    visits = e.where("event_type = 'view'").select(F.col("event_id").alias("external_id"), F.col("ts").alias("occurred_at"), F.col("user_id").alias("person_id"), row, F.concat(F.lit("s"), "user_id").alias("session_id"), F.expr("event_id % 9").alias("pageviews"), null("string", "url"), F.lit("/p").alias("name"), null("timestamp", "ended_at"), null("string", "referrer"), F.expr("event_id % 10 = 0").alias("machine"))
+    users = e.where("event_type = 'signup'").select(F.concat(F.lit("u"), "event_id").alias("external_id"), F.col("event_id").alias("id"), F.col("ts").alias("source_created_at"), F.expr("event_id % 6 <> 0").alias("signed_up"))
+    kind = F.when(F.expr("event_id % 4 < 2"), "payment").when(F.expr("event_id % 4 = 2"), "refund").otherwise("subscription")
+    status = F.when(kind == "subscription", _picked(("active", "canceled", "trialing", "past_due", "incomplete_expired"), "event_id % 5")).otherwise("succeeded")
+    payments = e.where("event_type = 'purchase'").select(
+        kind.alias("kind"), F.col("event_id").alias("external_id"), F.concat(F.lit("cus"), "user_id").alias("customer_id"), row, F.col("ts").alias("occurred_at"), F.floor(F.col("value") * 100).cast("long").alias("amount_minor"), F.lit("eur").alias("currency"), status.alias("status"),
+        null("string", "description"), F.expr("event_id % 8 = 0").alias("refunded"), null("long", "amount_refunded"), null("string", "charge"), null("string", "reason"), F.col("ts").alias("canceled_at"), null("timestamp", "ended_at"), F.lit("month").alias("interval"), F.lit(False).alias("cancel_at_period_end"),
+    )
+    credit = e.where("event_type = 'error'").select("event_id", F.concat(F.lit("u"), "user_id", F.lit("@x.io")).alias("email"), F.col("ts").alias("at"), F.lit("recorded_at").alias("date_basis"), F.lit("credit_ran_out").alias("kind"), F.lit("o").alias("credit_org_id"), null("string", "org_label"), F.expr("event_id % 7").alias("episode_id"))
+    got = families.candidates({"visits": visits, "auth_users": users, "payments": payments, "credit_events": credit})
+    at = F.concat(F.date_format(F.to_utc_timestamp("occurred_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    return got.select("natural_key", "family", "type", at.alias("told_at"), "date_basis", "payload", "machine", "content_hash")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'posthog_visit' WHEN 'click' THEN 'posthog_event' WHEN 'purchase' THEN 'stripe_money' WHEN 'signup' THEN 'csv_contact' ELSE ['crm_relation', 'newsletter_send', 'platform_signup'][CAST(event_id % 3 AS INT) + 1] END AS family FROM events),
+c AS (SELECT event_id, family, user_id, event_id % 4 = 0 AS fresh, event_id % 13 <> 0 AS owned, family = 'posthog_visit' AND event_id % 11 = 0 AS machine, family = 'posthog_event' AND event_id % 17 = 0 AS nobody FROM e WHERE event_id % 7 <> 0 AND family <> 'platform_signup'),
+l AS (SELECT event_id, family, user_id, 'row' || (user_id % 50) || CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS row, CASE WHEN user_id % 3 = 0 THEN 'h' || user_id END AS human FROM e WHERE event_id % 5 <> 0),
+j AS (SELECT coalesce(c.event_id, l.event_id) AS event_id, coalesce(c.user_id, l.user_id) AS user_id, c.event_id IS NOT NULL AS said, l.event_id IS NOT NULL AS lives, coalesce(c.family, l.family) AS family, c.fresh, c.owned, c.machine, c.nobody, l.row, l.human FROM c FULL JOIN l USING (event_id)),
+k AS (SELECT *, CASE WHEN said AND machine THEN 'machine' WHEN said AND nobody THEN 'unattributed' WHEN said AND lives AND (family IN ('csv_contact', 'newsletter_send') OR NOT fresh) THEN 'unchanged' WHEN said AND NOT owned THEN 'held' WHEN said AND lives THEN 'corrected' WHEN said THEN 'new' END AS change,
+  CASE WHEN said THEN NULL WHEN family = 'posthog_event' AND event_id % 8 = 0 THEN 'sessionless_event' WHEN family IN ('posthog_visit', 'posthog_event') AND event_id % 9 = 0 THEN 'machine_visit' WHEN family = 'newsletter_send' THEN 'not_this_brand' WHEN family = 'platform_signup' THEN 'source_retired'
+    WHEN family IN ('posthog_visit', 'posthog_event') OR (family = 'stripe_money' AND event_id % 2 = 0) OR (family = 'crm_relation' AND event_id % 4 = 0) THEN 'vendor_record_gone' END AS absent FROM j),
+r AS (SELECT *, coalesce(change, CASE WHEN absent IS NOT NULL THEN 'withdrawn' ELSE 'kept' END) AS done, CASE WHEN NOT lives THEN NULL WHEN change = 'machine' THEN 'machine_visit' WHEN change = 'unattributed' THEN 'subject_changed' WHEN change = 'corrected' THEN 'vendor_record_changed' ELSE absent END AS why FROM k),
+s AS (SELECT *, lives AND why IS NULL AND family IN ('posthog_visit', 'posthog_event', 'stripe_money') AND user_id % 2 = 1 AS minted, lives AND why IS NULL AND user_id % 3 < 2 AND human IS DISTINCT FROM 'h' || user_id AS known FROM r)
+SELECT 'k' || event_id AS natural_key, CASE WHEN minted OR known THEN 'restated' ELSE done END AS change, CASE WHEN minted THEN 'crm_contact_reminted' WHEN known THEN 'human_identified' ELSE why END AS reason,
+  CASE WHEN minted OR done IN ('new', 'corrected') OR NOT lives THEN 'row' || (user_id % 50) || 'a' ELSE row END AS crm_contact_id, CASE WHEN known AND NOT minted THEN 'h' || user_id ELSE human END AS human_id FROM s""")
+def fact_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as candidates and as live facts, by rule, so that every change and reason
+    comes up."""
+    e = table(spark, sf, "events")
+    family = F.when(F.col("event_type") == "view", "posthog_visit").when(F.col("event_type") == "click", "posthog_event").when(F.col("event_type") == "purchase", "stripe_money").when(F.col("event_type") == "signup", "csv_contact").otherwise(_picked(("crm_relation", "newsletter_send", "platform_signup"), "event_id % 3"))
+    e = e.select("event_id", "user_id", family.alias("family"), F.concat(F.lit("k"), "event_id").alias("natural_key"), F.col("event_id").cast("string").alias("source_ref"), F.concat(F.lit("o"), "user_id").alias("owner"))
+    row = F.concat(F.lit("row"), F.expr("user_id % 50"), F.lit("a"))
+    cands = e.where("event_id % 7 <> 0 and family <> 'platform_signup'").select("natural_key", "family", F.when(F.expr("event_id % 4 = 0"), "new").otherwise("old").alias("content_hash"), F.when(F.expr("event_id % 13 <> 0"), F.col("owner")).alias("owner"), F.expr("family = 'posthog_visit' and event_id % 11 = 0").alias("machine"), F.expr("family = 'posthog_event' and event_id % 17 = 0").alias("unattributed"), row.alias("crm_contact_id"))
+    source = F.create_map(*[F.lit(x) for n, v in families.FAMILIES.items() for x in (n, v.source)])
+    live = e.where("event_id % 5 <> 0").select("natural_key", "family", source[F.col("family")].alias("source"), "source_ref", F.lit("old").alias("content_hash"), F.concat(F.lit("c"), "user_id").alias("source_contact_id"), F.concat(F.lit("row"), F.expr("user_id % 50"), F.when(F.expr("user_id % 2 = 0"), "a").otherwise("b")).alias("crm_contact_id"), F.when(F.expr("user_id % 3 = 0"), F.concat(F.lit("h"), "user_id")).alias("human_id"), "owner")
+    refs = lambda when: e.where(when).select("source_ref")
+    users = e.select("user_id", "owner").distinct()
+    contacts = users.select(F.explode(F.array(F.lit("posthog"), F.lit("stripe"))).alias("source"), F.concat(F.lit("c"), "user_id").alias("source_contact_id"), row.alias("crm_contact_id"))
+    humans = users.where("user_id % 3 < 2").select("owner", F.concat(F.lit("h"), "user_id").alias("human_id"))
+    got = families.changes(cands, live, ["posthog", "stripe", "crm"], refs("event_id % 9 = 0"), refs("event_id % 8 = 0"), refs("event_id % 2 = 0"), refs("event_id % 4 = 0"), contacts, humans)
+    return got.select("natural_key", "change", "reason", "crm_contact_id", "human_id")
