@@ -39,16 +39,15 @@ def is_creation(first: Column, changed: Column, created: Column) -> Column:
 
 
 def stage_events(entries: DataFrame, cards: DataFrame, meanings: DataFrame, floor: float = 0.5) -> DataFrame:
-    """(card_id, step, occurred_at) for entries into a stage that means a step, where the
-    stage before did not mean it. Meanings under the floor, and 'none', mean nothing. A
+    """Entries into a stage that means a step, where the stage before did not mean it, each
+    with `step`, occurred_at, confidence, entered_at_creation and the columns it came with. Meanings under the floor, and 'none', mean nothing. A
     meaning holds for a stage under the name (and of the connection) it was judged by,
     where meanings tell these. A card created
-    in a late stage is undated evidence; creation dates only a booked meeting. Of the
-    entries of a card into a step the earliest stays, undated last."""
+    in a late stage is undated evidence; creation dates only a booked meeting."""
     also = [c for c in ("stage_name", "connection") if c in meanings.columns]
     was = {"stage_name": "previous_name", "connection": "connection"}
     m = meanings.where(F.col("confidence") >= floor)
-    mine = m.select(F.col("stage_id").alias("value"), "meaning", *also)
+    mine = m.select(F.col("stage_id").alias("value"), "meaning", "confidence", *also)
     before = m.select(F.col("stage_id").alias("previous_value"), F.col("meaning").alias("previous_meaning"), *[F.col(c).alias(was[c]) for c in also])
     made = cards.select("card_id", F.col("created_at").alias("__created"))
     e = (
@@ -59,7 +58,110 @@ def stage_events(entries: DataFrame, cards: DataFrame, meanings: DataFrame, floo
     )
     began = is_creation(F.col("is_first"), F.col("changed_at"), F.col("__created"))
     at = F.when(began & (F.col("meaning") != "meeting_booked"), F.lit(None)).otherwise(F.col("changed_at"))
-    return e.select("card_id", F.col("meaning").alias("step"), at.alias("at_")).groupBy("card_id", "step").agg(F.min("at_").alias("occurred_at"))
+    kept = [c for c in entries.columns if c not in ("occurred_at", "step")]
+    return e.select(*kept, F.col("meaning").alias("step"), at.alias("occurred_at"), "confidence", F.coalesce(began, F.lit(False)).alias("entered_at_creation"), F.col("__created").alias("card_created_at"))
+
+
+def first_entries(events: DataFrame) -> DataFrame:
+    """(card_id, step, occurred_at): the earliest entry of a card into a step, undated last."""
+    return events.groupBy("card_id", "step").agg(F.min("occurred_at").alias("occurred_at"))
+
+
+#: Statuses of a meeting that has an outcome, and origins that are a form.
+NOT_HELD, FORM_ORIGINS = ("noshow", "cancelled"), ("form", "survey")
+#: The columns of every branch of the funnel's evidence.
+EVIDENCE = {
+    "ext": "string", "step": "string", "occurred_at": "timestamp", "date_basis": "string", "source": "string", "source_id": "string", "calendar_name": "string", "appointment_status": "string", "starts_at": "timestamp",
+    "pipeline_name": "string", "stage_name": "string", "observed_at": "timestamp", "meaning_confidence": "double", "form_id": "string", "form_name": "string", "attribution_medium": "string", "entered_at_creation": "boolean", "opportunity_created_at": "timestamp",
+}
+
+
+def _branch(df: DataFrame, **told: Column) -> DataFrame:
+    return df.select("org_id", "brand_id", *[told.get(n, F.lit(None)).cast(t).alias(n) for n, t in EVIDENCE.items()])
+
+
+def appointment_evidence(a: DataFrame) -> DataFrame:
+    """A booked meeting of every valid appointment, dated by its booking, and its outcome, if
+    it has one, dated by its start: one pass, two rows."""
+    c = F.col
+    same = {"calendar_name": c("calendar_name"), "appointment_status": c("status"), "starts_at": c("starts_at"), "ext": c("contact"), "source": F.lit("appointment"), "source_id": c("external_id")}
+    outcome = F.when(c("status") == "showed", "meeting_attended").when(c("status").isin(*NOT_HELD), "meeting_not_held")
+    both = F.array(F.when(~c("status").eqNullSafe("invalid"), F.struct(F.lit("meeting_booked").alias("step"), c("booked_at").alias("at"), F.lit("booked_at").alias("basis"))), F.when(outcome.isNotNull(), F.struct(outcome.alias("step"), c("starts_at").alias("at"), F.lit("scheduled_start").alias("basis"))))
+    rows = a.withColumn("__e", F.explode(both)).where("__e is not null")
+    return _branch(rows, **same, step=c("__e.step"), occurred_at=c("__e.at"), date_basis=c("__e.basis"))
+
+
+def stage_evidence(events: DataFrame) -> DataFrame:
+    """stage_events whose entries tell contact, card_id, pipeline_name, stage_name, observed_at."""
+    c = F.col
+    return _branch(
+        events, ext=c("contact"), step=c("step"), occurred_at=c("occurred_at"), date_basis=F.lit("stage_entered_at"), source=F.lit("stage_entry"), source_id=c("card_id"), pipeline_name=c("pipeline_name"), stage_name=c("stage_name"),
+        observed_at=c("observed_at"), meaning_confidence=c("confidence"), entered_at_creation=c("entered_at_creation"), opportunity_created_at=c("card_created_at"),
+    )
+
+
+def status_evidence(history: DataFrame) -> DataFrame:
+    """A sale or a lost deal for every status that says so; history: contact, card_id, value,
+    changed_at, pipeline_name, stage_name, observed_at."""
+    c = F.col
+    won = c("value") == "won"
+    return _branch(
+        history.where(c("value").isin("won", "lost")), ext=c("contact"), step=F.when(won, "sale").otherwise("deal_lost"), occurred_at=c("changed_at"), date_basis=F.lit("status_changed_at"),
+        source=F.when(won, "won_status").otherwise("lost_status"), source_id=c("card_id"), pipeline_name=c("pipeline_name"), stage_name=c("stage_name"), observed_at=c("observed_at"),
+    )
+
+
+def form_evidence(forms: DataFrame) -> DataFrame:
+    c = F.col
+    return _branch(forms, ext=c("contact"), step=F.lit("form_submitted"), occurred_at=c("submitted_at"), date_basis=F.lit("submitted_at"), source=F.lit("form_submission"), source_id=c("external_id"), form_id=c("form_id"), form_name=c("form_name"))
+
+
+def origin_evidence(contacts: DataFrame, mediums: tuple[str, ...] = FORM_ORIGINS) -> DataFrame:
+    """Contacts that a form brought, dated by their creation."""
+    c = F.col
+    return _branch(contacts.where(c("origin_medium").isin(*mediums)), ext=c("external_id"), step=F.lit("form_submitted"), occurred_at=c("created_at"), date_basis=F.lit("contact_created_at"), source=F.lit("form_origin"), source_id=c("external_id"), attribution_medium=c("origin_medium"))
+
+
+def funnel_evidence(contacts: DataFrame, *branches: DataFrame) -> DataFrame:
+    """Every row of the branches with its contact (org_id, brand_id, external_id, contact_id)
+    of the same organisation and brand; rows of a contact that is not mirrored are none.
+    One union before one join."""
+    out = branches[0]
+    for b in branches[1:]:
+        out = out.unionByName(b)
+    c = contacts.select("org_id", "brand_id", F.col("external_id").alias("ext"), "contact_id")
+    return out.join(c, ["org_id", "brand_id", "ext"])
+
+
+#: From which confidence a verdict on a label counts, and the steps each says.
+LABEL_FLOOR = 0.5
+STEPS_OF_VERDICT = {"client": ("client",), "former_client": ("client", "former_client"), "disqualified": ("disqualified",)}
+
+
+def label_evidence(entries: DataFrame, tagged: DataFrame, verdicts: DataFrame, floor: float = LABEL_FLOOR) -> DataFrame:
+    """(contact, step, occurred_at, source, source_id, label, confidence): what the name of a
+    stage or of a contact's tag was judged to say.
+
+    entries: stage_entries with contact, connection, card_id, value, stage_name, their
+    previous ones, is_first, changed_at, card_created_at; tagged: contact, connection, tags;
+    verdicts: connection, kind (stage, tag), label_ref, label, verdict, confidence. A step
+    that the stage before says as well is no news; who becomes a client with the card's
+    creation did so undated; a tag is undated. Tags are compared without case and outer space.
+    """
+    c = F.col
+    steps = F.create_map(*[x for k, v in STEPS_OF_VERDICT.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    v = verdicts.where((c("confidence") >= floor) & c("verdict").isin(*STEPS_OF_VERDICT)).withColumn("steps", steps[c("verdict")])
+    stage = v.where("kind = 'stage'")
+    now = stage.select("connection", c("label_ref").alias("value"), c("label").alias("stage_name"), "steps", "confidence")
+    was = stage.select("connection", c("label_ref").alias("previous_value"), c("label").alias("previous_name"), c("steps").alias("said"))
+    e = entries.join(now, ["connection", "value", "stage_name"]).join(was, ["connection", "previous_value", "previous_name"], "left")
+    e = e.withColumn("step", F.explode(F.array_except("steps", F.coalesce("said", F.array().cast("array<string>")))))
+    began = is_creation(c("is_first"), c("changed_at"), c("card_created_at"))
+    at = F.when(F.coalesce(began, F.lit(False)) & c("step").isin("client", "former_client"), None).otherwise(c("changed_at")).cast("timestamp")
+    stages = e.select("contact", "step", at.alias("occurred_at"), F.lit("stage_label").alias("source"), c("card_id").cast("string").alias("source_id"), c("stage_name").alias("label"), "confidence")
+    t = tagged.select("contact", "connection", F.explode(F.array_distinct(F.transform("tags", lambda x: F.lower(F.trim(x))))).alias("label"))
+    t = t.join(v.where("kind = 'tag' and label_ref = ''").select("connection", "label", "steps", "confidence"), ["connection", "label"])
+    return stages.unionByName(t.select("contact", F.explode("steps").alias("step"), F.lit(None).cast("timestamp").alias("occurred_at"), F.lit("contact_tag").alias("source"), c("contact").cast("string").alias("source_id"), "label", "confidence"))
 
 
 def union_evidence(*parts: DataFrame) -> DataFrame:

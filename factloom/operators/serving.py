@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.normalize import EMAIL
+from factloom.operators.outcomes import SCOPE, payment_stands, without_booking_forms
 
 Clauses = list[tuple[str, Column]]
 
@@ -30,10 +31,14 @@ def sendable(contacts: DataFrame) -> DataFrame:
     return contacts.where(c("primary_email").rlike(EMAIL) & ~F.coalesce(c("unsubscribed"), F.lit(False)) & ~c("consent_status").eqNullSafe("denied"))
 
 
-def reached(people: DataFrame, facts: DataFrame, types: list[str], negate: bool = False) -> DataFrame:
-    """People with (or without) a live fact of one of the types."""
-    f = facts.where(F.col("live") & F.col("type").isin(*types)).select(F.col("owner_person_key").alias("person_key")).distinct()
-    return people.join(f, "person_key", "left_anti" if negate else "left_semi")
+def reached(people: DataFrame, facts: DataFrame, types: list[str], negate: bool = False, calendars: DataFrame | None = None) -> DataFrame:
+    """People of a brand with (or without) a live fact of one of the types that counts: a
+    payment must stand, and a calendar's own booking form is no form. People and facts
+    meet within their organisation and brand."""
+    f = facts.where(F.col("live") & F.col("owner_person_key").isNotNull() & F.col("type").isin(*types)).where(payment_stands())
+    f = without_booking_forms(f, calendars) if calendars is not None else f
+    f = f.select(*SCOPE, F.col("owner_person_key").alias("person_key")).distinct()
+    return people.join(f, [*SCOPE, "person_key"], "left_anti" if negate else "left_semi")
 
 
 def with_deal(people: DataFrame, deals: DataFrame, stages: list[str], status: str | None = None) -> DataFrame:

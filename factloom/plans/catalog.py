@@ -137,7 +137,7 @@ SELECT card_id, step, strftime(min(t), '%Y-%m-%d') AS occurred_on FROM j GROUP B
 def stage_events(spark: SparkSession, sf: str) -> DataFrame:
     meanings = spark.createDataFrame([("F", "sale", 0.9), ("O", "meeting_booked", 0.5), ("P", "none", 0.8)], "stage_id string, meaning string, confidence double")
     cards = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("card_id")).agg(F.min("o_orderdate").alias("created_at"))
-    return funnel.stage_events(_entries(spark, sf), cards, meanings).select("card_id", "step", day("occurred_at").alias("occurred_on"))
+    return funnel.first_entries(funnel.stage_events(_entries(spark, sf), cards, meanings)).select("card_id", "step", day("occurred_at").alias("occurred_on"))
 
 
 @query("""WITH r AS (SELECT user_id AS c, CASE event_type WHEN 'view' THEN 'form_submitted' WHEN 'click' THEN 'meeting_booked' WHEN 'signup' THEN 'meeting_attended' WHEN 'error' THEN 'meeting_not_held' ELSE 'sale' END AS step FROM events),
@@ -339,9 +339,9 @@ def history_appends(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {FACTS}, p AS (SELECT DISTINCT user_id, 'email:u' || user_id || '@example.com' AS person_key FROM events WHERE user_id % 3 <> 0)
 SELECT person_key, CASE WHEN user_id % 5 = 0 THEN CASE WHEN user_id % 11 = 2 THEN 'automated,group' ELSE 'automated' END WHEN user_id % 11 = 2 THEN 'group' ELSE '' END AS failed
-FROM p WHERE person_key IN (SELECT owner_person_key FROM facts WHERE live AND type = 'payment')""")
+FROM p WHERE person_key IN (SELECT person_key FROM evidence WHERE step IN ('sale', 'form_submission'))""")
 def segment_clauses(spark: SparkSession, sf: str) -> DataFrame:
-    p = serving.reached(views.people(spark, sf), views.facts(spark, sf), ["payment"])
+    p = serving.reached(views.people(spark, sf), views.facts(spark, sf), ["payment", "form_submitted"], calendars=views.calendars(spark))
     clauses = [("automated", ~F.col("automated")), ("group", ~F.col("group_only"))]
     return p.select("person_key", F.array_join(serving.failed_codes(clauses), ",").alias("failed"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import canonical
-from factloom.operators import families, ownership, runs, statements
+from factloom.operators import families, funnel, ownership, runs, statements
 from factloom.plans.registry import query
 from factloom.plans.views import table
 from factloom.session import shared_dir
@@ -336,3 +336,58 @@ def fact_changes(spark: SparkSession, sf: str) -> DataFrame:
     humans = users.where("user_id % 3 < 2").select("owner", F.concat(F.lit("h"), "user_id").alias("human_id"))
     got = families.changes(cands, live, ["posthog", "stripe", "crm"], refs("event_id % 9 = 0"), refs("event_id % 8 = 0"), refs("event_id % 2 = 0"), refs("event_id % 4 = 0"), contacts, humans)
     return got.select("natural_key", "change", "reason", "crm_contact_id", "human_id")
+
+
+# --- the funnel's evidence --------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, 'b' || (o_custkey % 2) AS brand_id, o_orderstatus, o_orderdate, lag(o_orderstatus) OVER w AS previous, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate END AS changed_at, min(o_orderdate) OVER (PARTITION BY o_custkey) AS created FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate END NULLS FIRST, o_orderkey)),
+a AS (SELECT *, ['showed', 'noshow', 'cancelled', 'invalid', 'confirmed', NULL][CAST(l_partkey % 6 AS INT) + 1] AS status, 'c' || (l_suppkey % 40) AS ext, 'b' || (l_suppkey % 2) AS brand_id FROM lineitem),
+ev AS (
+  SELECT brand_id, ext, 'meeting_booked' AS step, l_shipdate AS t, 'booked_at' AS basis, 'appointment' AS source, l_orderkey || '-' || l_linenumber AS source_id FROM a WHERE status IS DISTINCT FROM 'invalid'
+  UNION ALL SELECT brand_id, ext, CASE status WHEN 'showed' THEN 'meeting_attended' ELSE 'meeting_not_held' END, l_shipdate + INTERVAL 3 DAY, 'scheduled_start', 'appointment', l_orderkey || '-' || l_linenumber FROM a WHERE status IN ('showed', 'noshow', 'cancelled')
+  UNION ALL SELECT brand_id, 'c' || o_custkey, CASE o_orderstatus WHEN 'F' THEN 'sale' ELSE 'meeting_booked' END, CASE WHEN previous IS NULL AND changed_at = created AND o_orderstatus = 'F' THEN NULL ELSE changed_at END, 'stage_entered_at', 'stage_entry', '' || o_custkey FROM o WHERE o_orderstatus IN ('F', 'O') AND previous IS DISTINCT FROM o_orderstatus
+  UNION ALL SELECT brand_id, 'c' || o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'sale' ELSE 'deal_lost' END, changed_at, 'status_changed_at', CASE WHEN o_orderkey % 3 = 0 THEN 'won_status' ELSE 'lost_status' END, '' || o_custkey FROM o WHERE o_orderkey % 3 < 2
+  UNION ALL SELECT 'b' || (user_id % 2), 'c' || user_id, 'form_submitted', ts, 'submitted_at', 'form_submission', '' || event_id FROM events WHERE event_type = 'click'
+  UNION ALL SELECT 'b' || (c_custkey % 2), 'c' || c_custkey, 'form_submitted', NULL, 'contact_created_at', 'form_origin', 'c' || c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))
+SELECT brand_id, ext AS contact, source, basis, step, count(*) AS entries, count(DISTINCT source_id) AS ids, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS first_at, count(t) AS dated
+FROM ev JOIN customer ON 'c' || c_custkey = ext AND 'b' || (c_custkey % 2) = brand_id AND c_custkey % 10 <> 7 GROUP BY 1, 2, 3, 4, 5""")
+def funnel_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """All six branches over two brands: line items as appointments, orders as stages and
+    statuses of their customer's card, clicks as forms, customers as contacts, nine of ten
+    of them mirrored."""
+    brand = lambda c: F.concat(F.lit("b"), F.expr(f"{c} % 2")).alias("brand_id")
+    org, null = F.lit("org").alias("org_id"), lambda n: F.lit(None).cast("string").alias(n)
+    status = F.element_at(F.array(F.lit("showed"), F.lit("noshow"), F.lit("cancelled"), F.lit("invalid"), F.lit("confirmed"), F.lit(None)), F.expr("cast(l_partkey % 6 as int)") + 1)
+    a = table(spark, sf, "lineitem").select(org, brand("l_suppkey"), F.concat(F.lit("c"), F.expr("l_suppkey % 40")).alias("contact"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("external_id"), F.lit("Cal").alias("calendar_name"), status.alias("status"), F.col("l_shipdate").alias("booked_at"), (F.col("l_shipdate") + F.expr("interval 3 days")).alias("starts_at"))
+    o = table(spark, sf, "orders").select(org, brand("o_custkey"), F.concat(F.lit("c"), "o_custkey").alias("contact"), F.col("o_custkey").alias("card_id"), "o_orderkey", F.col("o_orderstatus").alias("value"), F.concat(F.lit("stage "), "o_orderstatus").alias("stage_name"), null("pipeline_name"), F.when(F.expr("o_orderkey % 9 <> 0"), F.col("o_orderdate")).alias("changed_at"), F.col("o_orderdate").alias("observed_at"))
+    meanings = spark.createDataFrame([("F", "sale", 0.9), ("O", "meeting_booked", 0.5), ("P", "none", 0.8)], "stage_id string, meaning string, confidence double")
+    cards = o.groupBy("card_id").agg(F.min("observed_at").alias("created_at"))
+    entries = funnel.stage_entries(o, ["card_id"], "observed_at", "changed_at", "o_orderkey")
+    history = o.withColumn("value", F.when(F.expr("o_orderkey % 3 = 0"), "won").when(F.expr("o_orderkey % 3 = 1"), "lost").otherwise("open"))
+    forms = table(spark, sf, "events").where("event_type = 'click'").select(org, brand("user_id"), F.concat(F.lit("c"), "user_id").alias("contact"), F.col("ts").alias("submitted_at"), F.col("event_id").alias("external_id"), null("form_id"), null("form_name"))
+    c = table(spark, sf, "customer").select(org, brand("c_custkey"), F.concat(F.lit("c"), "c_custkey").alias("external_id"), F.col("c_custkey").alias("contact_id"), F.when(F.col("c_mktsegment") == "BUILDING", "form").when(F.col("c_mktsegment") == "MACHINERY", "survey").otherwise("chat").alias("origin_medium"), F.lit(None).cast("timestamp").alias("created_at"))
+    got = funnel.funnel_evidence(
+        c.where("contact_id % 10 <> 7"), funnel.appointment_evidence(a), funnel.stage_evidence(funnel.stage_events(entries, cards, meanings)), funnel.status_evidence(history), funnel.form_evidence(forms), funnel.origin_evidence(c)
+    )
+    first = F.date_format(F.min("occurred_at"), "yyyy-MM-dd HH:mm:ss").alias("first_at")
+    return got.groupBy("brand_id", F.col("ext").alias("contact"), "source", F.col("date_basis").alias("basis"), "step").agg(F.count("*").alias("entries"), F.count_distinct("source_id").alias("ids"), first, F.count("occurred_at").alias("dated"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, 'n' || (o_custkey % 2) AS con, o_orderstatus AS v, o_orderdate AS t, lag(o_orderstatus) OVER w AS p, row_number() OVER w = 1 AS first, min(o_orderdate) OVER (PARTITION BY o_custkey) AS created FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+v(con, ref, verdict, steps, conf) AS (VALUES ('n0', 'F', 'former_client', ['client', 'former_client'], 0.9), ('n0', 'O', 'client', ['client'], 0.5), ('n1', 'F', 'client', ['client'], 0.4), ('n1', 'P', 'disqualified', ['disqualified'], 0.7), ('n1', 'O', 'former_client', ['client', 'former_client'], 0.8)),
+e AS (SELECT o.*, unnest(list_filter(v.steps, lambda x: NOT list_contains(coalesce(w.steps, []), x))) AS step, v.conf FROM o JOIN v ON v.con = o.con AND v.ref = o.v AND v.conf >= 0.5 LEFT JOIN v w ON w.con = o.con AND w.ref = o.p AND w.conf >= 0.5)
+SELECT o_custkey AS contact, step, strftime(CASE WHEN first AND t = created AND step <> 'disqualified' THEN NULL ELSE t END, '%Y-%m-%d') AS occurred_on, 'stage_label' AS source, 'stage ' || v AS label, CAST(conf AS DOUBLE) AS confidence, o_orderkey AS id FROM e
+UNION ALL SELECT c_custkey, s, NULL, 'contact_tag', lower(c_mktsegment), 0.6, c_custkey FROM customer, unnest(['client', 'former_client']) t(s) WHERE c_mktsegment = 'FURNITURE' AND c_custkey % 2 = 0""")
+def label_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as stages of their customer's card, segments as contacts' tags, two connections."""
+    con = lambda c: F.concat(F.lit("n"), F.expr(f"{c} % 2")).alias("connection")
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("contact"), F.col("o_custkey").alias("customer"), con("o_custkey"), F.col("o_orderstatus").alias("value"), F.concat(F.lit("stage "), "o_orderstatus").alias("stage_name"), F.col("o_orderdate").alias("changed_at"))
+    entries = funnel.stage_entries(o, ["customer"], "changed_at", "changed_at", "o_orderkey").withColumn("card_id", F.col("o_orderkey"))
+    entries = entries.join(o.groupBy("customer").agg(F.min("changed_at").alias("card_created_at")), "customer")
+    said = [("n0", "F", "former_client", 0.9), ("n0", "O", "client", 0.5), ("n1", "F", "client", 0.4), ("n1", "P", "disqualified", 0.7), ("n1", "O", "former_client", 0.8)]
+    verdicts = [(c, "stage", r, f"stage {r}", v, p) for c, r, v, p in said] + [("n0", "tag", "", "furniture", "former_client", 0.6), ("n1", "tag", "", "furniture", "client", 0.1), ("n0", "tag", "x", "building", "client", 0.9)]
+    v = spark.createDataFrame(verdicts, "connection string, kind string, label_ref string, label string, verdict string, confidence double")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("contact"), con("c_custkey"), F.array(F.concat(F.lit("  "), "c_mktsegment"), F.lower("c_mktsegment")).alias("tags"))
+    got = funnel.label_evidence(entries, c, v)
+    return got.select("contact", "step", F.date_format("occurred_at", "yyyy-MM-dd").alias("occurred_on"), "source", "label", "confidence", F.col("source_id").cast("long").alias("id"))

@@ -87,11 +87,14 @@ def net_paid(charges: DataFrame, customer: str = "customer") -> DataFrame:
 def signups(users: DataFrame, memberships: DataFrame, staff: Column) -> DataFrame:
     """Users who signed up by themselves: not our staff, and in no organisation at all or
     in one that they made, whose maker is unknown, or which our staff made and they
-    joined first of all outsiders. users: (user_id, email); memberships: (org, user_id,
-    joined_at, org_created_by)."""
+    joined first of all outsiders, an unknown date last and ties by the membership's id.
+    users: (user_id, email); memberships: (org, user_id, joined_at, org_created_by, and
+    membership_id where known, else the user's id decides)."""
     outside = users.where(~staff).select("user_id")
     ours = users.where(staff).select(F.col("user_id").alias("org_created_by"), F.lit(True).alias("by_staff"))
-    first = memberships.join(outside, "user_id").groupBy("org").agg(F.min_by("user_id", F.struct("joined_at", "user_id")).alias("first_user"))
+    tie = "membership_id" if "membership_id" in memberships.columns else "user_id"
+    order = F.struct(F.col("joined_at").isNull().alias("undated"), F.col("joined_at"), F.col(tie).alias("tie"))
+    first = memberships.join(outside, "user_id").groupBy("org").agg(F.min_by("user_id", order).alias("first_user"))
     m = memberships.join(first, "org", "left").join(ours, "org_created_by", "left")
     maker = F.col("org_created_by")
     own = maker.isNull() | (maker == F.col("user_id")) | (F.coalesce("by_staff", F.lit(False)) & F.coalesce(F.col("first_user") == F.col("user_id"), F.lit(False)))

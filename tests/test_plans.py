@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import normalize as N
-from factloom.operators import facts, funnel, health, identity, messages, outcomes
+from factloom.operators import facts, funnel, health, identity, messages, outcomes, serving
 from factloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -62,6 +62,28 @@ def test_rules_that_the_tables_do_not_reach(spark):
     assert [(r.card_id, r.step) for r in funnel.stage_events(e, cards, told).collect()] == [(1, "sale")]
 
 
+def test_every_entry_of_a_stage_is_kept(spark):
+    t = lambda d: dt.datetime(2026, 1, d)
+    h = spark.createDataFrame([(1, "a", "New", t(1), t(1), 1), (1, "b", "Won", t(2), t(2), 2), (1, "a", "New", t(3), t(3), 3), (1, "b", "Won", t(4), t(4), 4)], "card_id int, value string, stage_name string, changed_at timestamp, observed_at timestamp, id int")
+    cards = spark.createDataFrame([(1, t(1))], "card_id int, created_at timestamp")
+    told = spark.createDataFrame([("b", "sale", 0.9), ("a", "meeting_attended", 0.9)], "stage_id string, meaning string, confidence double")
+    events = funnel.stage_events(funnel.stage_entries(h, ["card_id"], "observed_at", "changed_at", "id"), cards, told)
+    assert sorted((r.id, r.step, r.occurred_at, r.entered_at_creation) for r in events.collect()) == [(1, "meeting_attended", None, True), (2, "sale", t(2), False), (3, "meeting_attended", t(3), False), (4, "sale", t(4), False)]
+    assert {(r.step, r.occurred_at) for r in funnel.first_entries(events).collect()} == {("meeting_attended", t(3)), ("sale", t(2))}
+
+
+def test_reached_counts_what_stands(spark):
+    schema = "org_id string, brand_id string, owner_person_key string, type string, live boolean, payload struct<amount_minor:long,amount_refunded:long,status:string,refunded:boolean,form_id:string>"
+    pay = lambda *x: (*x, None)
+    rows = [("o", "b", "paid", "payment", True, pay(5, 0, "succeeded", False)), ("o", "b", "failed", "payment", True, pay(5, 0, "failed", False)), ("o", "b", "back", "payment", True, pay(5, 5, "succeeded", False)), ("o", "x", "other", "payment", True, pay(5, 0, "succeeded", False)), ("o", "b", "booked", "form_submitted", True, (None, None, None, None, "cal")), ("o", "b", "form", "form_submitted", True, (None, None, None, None, "f")), ("o", "b", "old", "payment", False, pay(5, 0, "succeeded", False))]
+    f = spark.createDataFrame(rows, schema)
+    people = spark.createDataFrame([("o", "b", k) for k in ("paid", "failed", "back", "other", "booked", "form", "old")], "org_id string, brand_id string, person_key string")
+    calendars = spark.createDataFrame([("o", "b", "cal")], "org_id string, brand_id string, form_id string")
+    got = lambda **k: sorted(r.person_key for r in serving.reached(people, f, ["payment", "form_submitted"], **k).collect())
+    assert got(calendars=calendars) == ["form", "paid"] and got() == ["booked", "form", "paid"]
+    assert got(negate=True, calendars=calendars) == ["back", "booked", "failed", "old", "other"]
+
+
 def test_normal_forms(spark):
     def one(f, *texts):
         df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")

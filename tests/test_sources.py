@@ -38,6 +38,9 @@ def test_mirrors(spark):
     users = spark.createDataFrame([("s", "s@us"), ("a", "a@x"), ("b", "b@x"), *[(x, f"{x}@x") for x in "cdef"]], "user_id string, email string")
     members = spark.createDataFrame([("o", "s", 1, "s"), ("o", "a", 2, "s"), ("o", "b", 3, "s"), ("p", "a", 1, None), ("p", "d", 2, None), ("q", "a", 1, "e"), ("q", "e", 2, "e"), ("q", "f", 3, "e")], "org string, user_id string, joined_at int, org_created_by string")
     assert sorted(x.user_id for x in mirrors.signups(users, members, F.col("email").endswith("@us")).collect()) == ["a", "c", "d", "e"]
+    # an undated member comes last, and of one date the smaller membership is the first
+    dated = spark.createDataFrame([("o", "a", None, "s", "m1"), ("o", "b", 2, "s", "m2"), ("p", "c", 1, "s", "m9"), ("p", "d", 1, "s", "m3"), ("q", "e", None, "s", "m5"), ("q", "f", None, "s", "m4")], "org string, user_id string, joined_at int, org_created_by string, membership_id string")
+    assert sorted(x.user_id for x in mirrors.signups(users, dated, F.col("email").endswith("@us")).collect()) == ["b", "d", "f"]
 
 
 def test_stream_sessions_and_appends(spark, tmp_path):
