@@ -28,8 +28,9 @@ def _key_order(key: str) -> tuple:
 
 def _quoted(text: Column) -> Column:
     out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    marks = F.array(*[F.struct(F.lit(chr(n)).alias("c"), F.lit(SHORT.get(chr(n), f"\\u{n:04x}")).alias("e")) for n in range(0x20)])
-    odd = F.aggregate(marks, out, lambda told, m: F.replace(told, m["c"], m["e"]))
+    # one literal, so that a plan of many texts stays quick to make
+    escapes = F.split(F.lit(" ".join(SHORT.get(chr(n), f"\\u{n:04x}") for n in range(0x20))), " ")
+    odd = F.aggregate(F.sequence(F.lit(0), F.lit(0x1F)), out, lambda told, n: F.replace(told, F.char(n), F.element_at(escapes, n + 1)))
     return F.concat(F.lit('"'), F.when(text.rlike("[\\x00-\\x1f]"), odd).otherwise(out), F.lit('"'))
 
 

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import canonical
-from factloom.operators import families, funnel, ownership, runs, statements
+from factloom.operators import families, funnel, ownership, persons, runs, statements
 from factloom.plans.registry import query
 from factloom.plans.views import table
 from factloom.session import shared_dir
 from factloom.sources import stores
+from factloom.streaming import keyed
 
 #: Places of the event types, in order of their names.
 _TYPES = ("click", "error", "purchase", "signup", "view")
@@ -391,3 +392,68 @@ def label_evidence(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("contact"), con("c_custkey"), F.array(F.concat(F.lit("  "), "c_mktsegment"), F.lower("c_mktsegment")).alias("tags"))
     got = funnel.label_evidence(entries, c, v)
     return got.select("contact", "step", F.date_format("occurred_at", "yyyy-MM-dd").alias("occurred_on"), "source", "label", "confidence", F.col("source_id").cast("long").alias("id"))
+
+
+# --- people ---------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'h' || c_custkey END AS human FROM customer),
+l AS (SELECT o_custkey, o_orderkey, 'l' || o_orderkey AS lead_id, o_orderkey % 997 = 3 AS failed FROM orders WHERE o_orderkey % 20 = 3),
+bl AS (SELECT o_custkey, arg_min(['contacted', 'interested', 'meeting'][CAST(o_orderkey % 3 AS INT) + 1], o_orderkey) AS s FROM l WHERE o_orderkey % 3 < 3 AND o_orderkey % 7 = 0 GROUP BY 1),
+lf AS (SELECT o_custkey, bool_or(failed) AS failed FROM l GROUP BY 1),
+pay AS (SELECT o_custkey, list(CASE o_orderkey % 8 WHEN 0 THEN 'unpaid' WHEN 1 THEN 'canceled' ELSE 'none' END) AS st, sum(CASE WHEN o_orderkey % 6 = 1 THEN 1 ELSE 0 END) AS paid, sum(CASE WHEN o_orderkey % 6 = 5 THEN 1 ELSE 0 END) AS back FROM orders WHERE o_orderkey % 25 IN (1, 8) GROUP BY 1),
+dl AS (SELECT o_custkey, min(CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 4 END) AS r FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 15 = 4 GROUP BY 1),
+ch AS (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderpriority)) AS s FROM orders WHERE o_orderkey % 6 = 2 GROUP BY 1),
+ml AS (SELECT o_custkey, bool_or(o_orderkey % 4 = 0) AS replied, bool_or(o_orderkey % 4 = 1) AS clicked FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1),
+x AS (SELECT c_custkey, coalesce(lf.failed, false) AS unknown, coalesce(bl.s, CASE WHEN human IS NOT NULL AND c_custkey % 2 = 0 THEN 'human_state' END) AS verdict,
+  CASE WHEN list_contains(st, 'unpaid') THEN 'subscription_unpaid' WHEN paid > 0 THEN 'paid' WHEN back > 0 THEN 'refunded' WHEN list_contains(st, 'canceled') THEN 'subscription_canceled' END AS pay,
+  CASE r WHEN 3 THEN 'deal_lost' WHEN 4 THEN 'deal_abandoned' END AS deal, ch.s AS chat, CASE WHEN replied THEN 'replied' WHEN clicked THEN 'clicked' END AS mail
+  FROM p LEFT JOIN lf ON lf.o_custkey = c_custkey LEFT JOIN bl ON bl.o_custkey = c_custkey LEFT JOIN pay ON pay.o_custkey = c_custkey LEFT JOIN dl ON dl.o_custkey = c_custkey LEFT JOIN ch ON ch.o_custkey = c_custkey LEFT JOIN ml ON ml.o_custkey = c_custkey)
+SELECT c_custkey, CASE WHEN unknown THEN 'unavailable' ELSE coalesce(verdict, pay, deal, chat, mail, 'in_conversation') END AS state,
+  CASE WHEN unknown OR verdict IS NOT NULL THEN 'lead_service' WHEN pay IS NOT NULL THEN 'stripe' WHEN deal IS NOT NULL THEN 'gohighlevel' WHEN chat IS NOT NULL THEN 'matrix' WHEN mail IS NOT NULL THEN 'instantly' ELSE 'none' END AS state_source FROM x""")
+def person_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as people, parts of their orders as leads, payments, deals, chats and mails."""
+    who = F.col("o_custkey").alias("person_id")
+    o = table(spark, sf, "orders")
+    people = table(spark, sf, "customer").select(F.col("c_custkey").alias("person_id"), F.when(F.expr("c_custkey % 9 = 0"), F.concat(F.lit("h"), "c_custkey")).alias("human_id"))
+    lead = F.concat(F.lit("l"), "o_orderkey").alias("lead_id")
+    leads = o.where("o_orderkey % 20 = 3").select(who, F.col("o_orderkey").alias("place"), lead, F.expr("o_orderkey % 997 = 3").alias("failed"))
+    none = F.lit(None).cast("string")
+    states = o.where("o_orderkey % 7 = 0").select(lead, none.alias("human_id"), _picked(("contacted", "interested", "meeting"), "o_orderkey % 3").alias("state"))
+    states = states.unionByName(people.where("person_id % 2 = 0 and human_id is not null").select(none.alias("lead_id"), "human_id", F.lit("human_state").alias("state")))
+    status = F.when(F.expr("o_orderkey % 8 = 0"), "unpaid").when(F.expr("o_orderkey % 8 = 1"), "canceled").otherwise("none")
+    payments = o.where("o_orderkey % 25 in (1, 8)").select(who, F.array(status).alias("subscription_statuses"), F.expr("int(o_orderkey % 6 = 1)").alias("paid_charges"), F.expr("int(o_orderkey % 6 = 5)").alias("refunded_charges"))
+    deals = o.where("o_orderkey % 15 = 4").select(who, F.when(F.col("o_orderstatus") == "F", "lost").when(F.col("o_orderstatus") == "O", "abandoned").alias("status"))
+    chats = o.where("o_orderkey % 6 = 2").select(who, F.col("o_orderpriority").alias("status"), F.col("o_orderdate").alias("last_at"))
+    mails = o.where("o_orderkey % 5 = 0").select(who, F.expr("o_orderkey % 4 = 0").alias("replied"), F.expr("o_orderkey % 4 = 1").alias("clicked"))
+    return persons.person_states(people, leads, states, payments, deals, chats, mails).withColumnRenamed("person_id", "c_custkey")
+
+
+@query("""WITH p AS (SELECT c_custkey, c_custkey % 7 <> 0 AND c_custkey % 10 <> 3 AS free FROM customer WHERE c_custkey % 4 <> 0),
+r AS (SELECT DISTINCT o_custkey AS c, 'deal_stage' AS kind, 'P' || (o_orderkey % 2) AS pipeline, o_orderstatus AS name, lower(o_orderpriority) AS status FROM orders
+  UNION SELECT c_custkey, 'tag', NULL, (SELECT min(CASE WHEN x.c_custkey % 2 = 0 THEN x.c_mktsegment ELSE lower(x.c_mktsegment) END) FROM customer x WHERE x.c_mktsegment = customer.c_mktsegment), NULL FROM customer
+  UNION SELECT user_id, 'step', NULL, event_type, NULL FROM events)
+SELECT kind, pipeline, name, status, count(*) AS people, count(*) FILTER (WHERE free) AS in_pool FROM r JOIN p ON c_custkey = c GROUP BY 1, 2, 3, 4""")
+def segment_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    mail = F.concat(F.lit("c"), "c_custkey", F.lit("@x.io"))
+    people = c.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("person_id"), F.array(mail).alias("emails"))
+    deals = table(spark, sf, "orders").select(F.col("o_custkey").alias("person_id"), F.concat(F.lit("P"), F.expr("o_orderkey % 2")).alias("pipeline"), F.col("o_orderstatus").alias("stage"), F.lower("o_orderpriority").alias("status"))
+    tag = F.when(F.expr("c_custkey % 2 = 0"), F.concat(F.lit(" "), "c_mktsegment")).otherwise(F.concat(F.lower("c_mktsegment"), F.lit(" ")))
+    tags = c.select(F.col("c_custkey").alias("person_id"), tag.alias("tag"))
+    steps = table(spark, sf, "events").select(F.col("user_id").alias("person_id"), F.col("event_type").alias("step"))
+    served = c.where("c_custkey % 10 = 3").select(mail.alias("email"))
+    return persons.segment_catalogue(people, deals, tags, steps, people.where("person_id % 7 <> 0"), served)
+
+
+@query("""WITH c AS (SELECT 'b' || (user_id % 2) AS brand_id, '+' || (user_id % 37) AS phone, 'a' || (event_id % 5) AS artifact_id, CAST(event_id AS VARCHAR) AS contact_id, ts, CASE event_id % 5 WHEN 4 THEN NULL ELSE TIMESTAMP '2024-01-02' + INTERVAL 1 DAY * (event_id % 5) END AS loaded_at FROM events),
+g AS (SELECT *, greatest(ts, loaded_at) AS looked_at, ts <= loaded_at AS history FROM c WHERE loaded_at IS NOT NULL)
+SELECT brand_id, phone, CASE WHEN arg_min(history, k) THEN 'before_watch' ELSE 'detected' END AS status, arg_min(artifact_id, k) AS artifact_id, arg_min(contact_id, k) AS contact_id, strftime(min(looked_at), '%Y-%m-%d %H:%M:%S') AS given_at
+FROM (SELECT *, (looked_at, CASE WHEN history THEN '0' ELSE '1' END || contact_id, artifact_id) AS k FROM g) GROUP BY 1, 2""")
+def given_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as contacts of five artifacts, one of them still on its first load; the stream
+    of streaming.keyed ends in the same rows."""
+    e = table(spark, sf, "events")
+    loaded = F.when(F.expr("event_id % 5 <> 4"), F.expr("timestamp '2024-01-02' + make_dt_interval(cast(event_id % 5 as int))"))
+    c = e.select(F.lit("o").alias("org_id"), F.concat(F.lit("b"), F.expr("user_id % 2")).alias("brand_id"), F.concat(F.lit("+"), F.expr("user_id % 37")).alias("phone"), F.concat(F.lit("a"), F.expr("event_id % 5")).alias("artifact_id"), F.col("event_id").alias("contact_id"), F.col("ts").cast("timestamp").alias("at"), loaded.alias("loaded_at"))
+    return keyed.given_so_far(c).select("brand_id", "phone", "status", "artifact_id", "contact_id", F.date_format("given_at", "yyyy-MM-dd HH:mm:ss").alias("given_at"))
