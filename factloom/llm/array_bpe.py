@@ -251,6 +251,7 @@ class ArrayTokenizer:
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
+        self.memory = MEMORY
         self.at, self.n, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.merger.dtype)
 
     def _evict(self) -> None:
@@ -306,7 +307,7 @@ class ArrayTokenizer:
         which = np.empty(len(h), np.int64)
         which[order] = np.cumsum(new) - 1
         kinds, one = sorted_[new], order[new]
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             self._evict()
         told = np.fromiter(map(self.known.get, kinds.tolist(), repeat(-1)), np.int64, len(kinds))
         unknown = np.flatnonzero(told < 0)

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from factloom.llm.array_bpe import word_tokenizer
 from factloom.llm.tables import portions
 
+#: Pre-tokens a worker holds between batches, 25 MB: the pipeline's other stages share its memory.
+MEMORY = 150_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END_ID = 2
 WINDOW = 4096
@@ -163,7 +165,9 @@ def pack(
     sequence_id is unique over all partitions and the same if a task runs again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_tokenizer(vocabulary).encode
+        tok = word_tokenizer(vocabulary)
+        tok.memory = MEMORY
+        encode = tok.encode
         packer, end = Packer(window), np.array([end_id], "<u4")
         base = TaskContext.get().partitionId() << 40
         held: dict[int, list] = {}  # number of the document -> id, ids, where these start, all, not yet out

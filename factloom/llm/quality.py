@@ -38,8 +38,8 @@ MIN_DOCS = 4
 SIGMA, LIFT = 5.0, 3.0
 KEEP = 0.5
 STEPS, RATE, RIDGE = 300, 0.2, 1e-4
-#: Words held between texts of a worker, about 250 bytes each: 50 MB at most.
-MEMORY = 200_000
+#: Words held between texts of a worker, about 250 bytes each: 25 MB at most.
+MEMORY = 100_000
 #: Entries of the sample's features that are counted at once.
 PART = 1_000_000
 
