@@ -5,11 +5,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import canonical
-from factloom.operators import families, funnel, ownership, persons, runs, statements
+from factloom.operators import families, funnel, ownership, persons, rooms, runs, statements
 from factloom.plans.registry import query
 from factloom.plans.views import table
 from factloom.session import shared_dir
@@ -457,3 +457,47 @@ def given_numbers(spark: SparkSession, sf: str) -> DataFrame:
     loaded = F.when(F.expr("event_id % 5 <> 4"), F.expr("timestamp '2024-01-02' + make_dt_interval(cast(event_id % 5 as int))"))
     c = e.select(F.lit("o").alias("org_id"), F.concat(F.lit("b"), F.expr("user_id % 2")).alias("brand_id"), F.concat(F.lit("+"), F.expr("user_id % 37")).alias("phone"), F.concat(F.lit("a"), F.expr("event_id % 5")).alias("artifact_id"), F.col("event_id").alias("contact_id"), F.col("ts").cast("timestamp").alias("at"), loaded.alias("loaded_at"))
     return keyed.given_so_far(c).select("brand_id", "phone", "status", "artifact_id", "contact_id", F.date_format("given_at", "yyyy-MM-dd HH:mm:ss").alias("given_at"))
+
+
+# --- rooms ------------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT event_id, user_id AS room, CASE WHEN event_id % 3 = 0 THEN 'us' ELSE 'them' END AS sender, ts, event_type || event_id AS body,
+  CASE WHEN event_id % 5 = 1 THEN lag(event_id) OVER w END AS edits, CASE WHEN event_id % 4 = 2 THEN lag(event_id, 2) OVER w WHEN event_id % 44 = 3 THEN -event_id END AS quotes FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+e AS (SELECT m.*, o.event_id AS target FROM m JOIN m o ON o.room = m.room AND o.event_id = m.edits AND o.sender = m.sender),
+l AS (SELECT room, target AS event_id, arg_max(body, (ts, event_id)) AS body FROM e GROUP BY 1, 2),
+f AS (SELECT m.room, m.event_id, m.sender, m.ts, coalesce(l.body, m.body) AS body, m.quotes FROM m LEFT JOIN l USING (room, event_id) WHERE (m.room, m.event_id) NOT IN (SELECT (room, event_id) FROM e))
+SELECT f.event_id, f.body, f.quotes AS quoted_id, CASE WHEN q.event_id IS NOT NULL THEN CASE WHEN q.sender = 'us' THEN 'outbound' ELSE 'inbound' END END AS quoted_direction, substr(q.body, 1, 300) AS quoted_text FROM f LEFT JOIN f q ON q.room = f.room AND q.event_id = f.quotes""")
+def folded_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's events as a room's messages; some rewrite the one before, some quote."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    m = table(spark, sf, "events").select(
+        F.col("user_id").alias("room"), "event_id", F.when(F.expr("event_id % 3 = 0"), "us").otherwise("them").alias("sender"), F.col("ts").alias("at"), F.concat("event_type", "event_id").alias("body"),
+        F.when(F.expr("event_id % 5 = 1"), F.lag("event_id").over(w)).alias("edits"),
+        F.when(F.expr("event_id % 4 = 2"), F.lag("event_id", 2).over(w)).when(F.expr("event_id % 44 = 3"), -F.col("event_id")).alias("quotes"),
+    )
+    got = rooms.with_quotes(rooms.fold_edits(m), F.col("sender") == "us")
+    return got.select("event_id", "body", F.col("quote.event_id").alias("quoted_id"), F.col("quote.direction").alias("quoted_direction"), F.col("quote.text").alias("quoted_text"))
+
+
+@query("""WITH b AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate END AS t, CASE o_orderstatus WHEN 'F' THEN 'cancelled' ELSE 'confirmed' END AS status FROM orders),
+n AS (SELECT b.*, CASE WHEN status = 'cancelled' AND t IS NOT NULL THEN (SELECT arg_min(x.o_orderkey, (x.t, x.o_orderkey)) FROM b x WHERE x.o_custkey = b.o_custkey AND x.status <> 'cancelled' AND x.t >= b.t) END AS after FROM b),
+c AS (SELECT after AS o_orderkey, o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY t, o_orderkey) AS came FROM n WHERE after IS NOT NULL GROUP BY 1, 2)
+SELECT n.o_orderkey, n.o_custkey, status, came AS rescheduled_from FROM n LEFT JOIN c USING (o_orderkey, o_custkey) WHERE after IS NULL""")
+def booked_meetings(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "orders").select(F.col("o_custkey").alias("person_id"), F.col("o_orderkey").alias("event_id"), F.when(F.expr("o_orderkey % 17 <> 0"), F.col("o_orderdate")).alias("booked_at"), F.when(F.col("o_orderstatus") == "F", "cancelled").otherwise("confirmed").alias("status"))
+    got = rooms.meetings(b)
+    return got.select(F.col("event_id").alias("o_orderkey"), F.col("person_id").alias("o_custkey"), "status", F.array_join("rescheduled_from", ",").alias("rescheduled_from"))
+
+
+@query("""WITH k AS (SELECT '+' || (10000000 + o_custkey * 3) AS phone FROM orders UNION SELECT '+' || (c_custkey * 200) FROM customer UNION SELECT '+' || (10000000 + user_id * 9) FROM events)
+SELECT phone FROM k WHERE regexp_matches(phone, '^\\+[0-9]{8,15}$') AND phone NOT IN (SELECT '+' || (10000000 + user_id * 3) FROM events WHERE event_type = 'click' AND event_id % 3 = 0)
+AND phone NOT IN (SELECT '+' || (10000000 + c_custkey * 3) FROM customer WHERE c_mktsegment = 'BUILDING' OR (c_custkey % 2 = 0 AND c_custkey % 60 < 30))""")
+def numbers_to_ask(spark: SparkSession, sf: str) -> DataFrame:
+    phone = lambda e: F.concat(F.lit("+"), F.expr(e)).alias("phone")
+    e, c = table(spark, sf, "events"), table(spark, sf, "customer")
+    known = [table(spark, sf, "orders").select(phone("10000000 + o_custkey * 3")), c.select(phone("c_custkey * 200")), e.select(phone("10000000 + user_id * 9"))]
+    mirrored = e.where("event_type = 'click' and event_id % 3 = 0").select(phone("10000000 + user_id * 3"))
+    now = F.lit("2026-09-01").cast("timestamp")
+    lookups = c.where("c_mktsegment = 'BUILDING' or c_custkey % 2 = 0").select(phone("10000000 + c_custkey * 3"), F.when(F.col("c_mktsegment") == "BUILDING", "found").otherwise("not_found").alias("outcome"), (now - F.expr("make_dt_interval(cast(c_custkey % 60 as int))")).alias("looked_up_at"))
+    return rooms.numbers_to_ask(known, mirrored, lookups, now)
