@@ -105,12 +105,17 @@ def mixed(docs: DataFrame, keep: float = KEEP, id_col: str = "doc_id") -> DataFr
 
 
 def sampled(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The sampled rows of docs with all their columns."""
+    """The sampled rows of docs with all their columns, whatever these are called.
+
+    A null source or language is a margin of its own, a null or empty text has no tokens
+    and topic 0; rows with one id, repeated ones too, are sampled together, a null id
+    as the empty one. An empty table gives no rows.
+    """
     base = cut(docs.select(*margins(docs), tokens(docs["text"].cast("string")).alias("n_tokens")).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n_tokens")))
-    p = hinted(cut(probabilities(base, keep)).select(*[F.col(c).alias(f"__mix_{c}") for c in MARGINS], F.col("probability").alias("__mix_p")))
-    keyed = docs.withColumns({f"__doc_{c}": col for c, col in zip(MARGINS, margins(docs))})
-    on = [F.col(f"__doc_{c}") == F.col(f"__mix_{c}") for c in MARGINS]
-    return keyed.join(p, on).where(chance(F.col("doc_id")) < F.col("__mix_p")).select(docs.columns)
+    p = hinted(cut(probabilities(base, keep)))
+    rows = docs.select(*margins(docs), chance(docs["doc_id"]).alias("drawn"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    drawn = rows.join(p, list(MARGINS)).where("drawn < probability")
+    return drawn.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def oracle_sql(keep: float = KEEP, powers: dict = POWERS, sweeps: int = SWEEPS, documents: str = "documents") -> tuple[str, str]:
