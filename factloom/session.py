@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,8 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a new local one."""
+    """The folder of spark.checkpoint.dir; where it is unset, a new local one in a local
+    session (tests). A cluster must name one: its machines do not share their disks."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         if not spark.sparkContext.getCheckpointDir():
@@ -33,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
         return told
     found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="factloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
