@@ -133,10 +133,16 @@ def stable_ids(people: DataFrame, known: DataFrame, max_rounds: int = 20) -> Dat
     return got.select("person_key", F.coalesce("person_id", F.sha2("person_key", 256)).alias("person_id"), F.col("person_id").isNull().alias("is_new"))
 
 
-def resolved_aliases(aliases: DataFrame, most: int = 10) -> DataFrame:
-    """(old_id, id): retired ids followed to the last one, at most `most` hops."""
-    at = aliases.select("old_id", F.col("new_id").alias("id"))
-    for _ in range(most - 1):
-        step = aliases.select(F.col("old_id").alias("__o"), F.col("new_id").alias("__n"))
-        at = at.join(step, F.col("id") == F.col("__o"), "left").select("old_id", F.coalesce("__n", "id").alias("id"))
-    return at
+def resolved_aliases(aliases: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(old_id, id): retired ids followed to the last one. A round follows every chain twice
+    as far as the one before, so chains of any length take few; a circle raises."""
+    from factloom.session import cut
+
+    at = cut(aliases.where("old_id <> new_id").select("old_id", F.col("new_id").alias("id")).distinct())
+    for _ in range(max_rounds):
+        step = at.select(F.col("old_id").alias("__o"), F.col("id").alias("__n"))
+        now = cut(at.join(step, F.col("id") == F.col("__o"), "left").select("old_id", F.coalesce("__n", "id").alias("id"), F.col("__n").isNotNull().alias("moved")))
+        if now.where("moved").isEmpty():
+            return now.select("old_id", "id")
+        at = now.select("old_id", "id")
+    raise RuntimeError(f"aliases not settled after {max_rounds} rounds: some run in a circle")

@@ -84,6 +84,14 @@ def test_reached_counts_what_stands(spark):
     assert got(negate=True, calendars=calendars) == ["back", "booked", "failed", "old", "other"]
 
 
+def test_aliases_of_any_length(spark):
+    pairs = [(f"p{i:02}", f"p{i + 1:02}") for i in range(37)] + [("x", "p05"), ("y", "y")]
+    got = {r.old_id: r.id for r in identity.resolved_aliases(spark.createDataFrame(pairs, "old_id string, new_id string")).collect()}
+    assert got == {f"p{i:02}": "p37" for i in range(37)} | {"x": "p37"}
+    with pytest.raises(RuntimeError, match="circle"):
+        identity.resolved_aliases(spark.createDataFrame([("a", "b"), ("b", "a")], "old_id string, new_id string"), max_rounds=4)
+
+
 def test_normal_forms(spark):
     def one(f, *texts):
         df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
