@@ -44,6 +44,8 @@ def cluster_people(presences: DataFrame, evidence: DataFrame | None = None) -> D
     of its presences; components of that graph are people. Keys that only evidence
     states join a person but make none.
     """
+    from factloom.session import cut
+
     none = F.array().cast("array<string>")
     col = lambda df, c: F.col(c) if c in df.columns else none
     p = presences.select(
@@ -51,6 +53,8 @@ def cluster_people(presences: DataFrame, evidence: DataFrame | None = None) -> D
         keys_of(F.col("emails"), F.col("phones"), col(presences, "user_ids"), col(presences, "keys"), F.concat_ws(":", "source", "source_ref")).alias("ks"),
         (F.col("handle") if "handle" in presences.columns else F.lit(None).cast("string")).alias("handle"),
     )
+    # records that state the same are one row from here on: keys are normalised once
+    p = cut(p.groupBy("source", "ks", "handle").agg(F.count("*").alias("n")))
     star = lambda df: df.select(F.element_at("ks", 1).alias("a"), F.explode("ks").alias("b"))
     edges = star(p)
     shared = p.where("handle is not null").select(F.concat(F.lit("handle:"), "handle").alias("a"), F.element_at("ks", 1).alias("b"))
@@ -66,7 +70,7 @@ def cluster_people(presences: DataFrame, evidence: DataFrame | None = None) -> D
     people = rooted.join(present, "root", "left_semi").groupBy("root").agg(
         person_key(F.col("node")).alias("person_key"), F.sort_array(F.collect_set("node")).alias("identity_keys")
     )
-    per = p.select("source", F.element_at("ks", 1).alias("node")).join(rooted, "node").groupBy("root").agg(F.sort_array(F.collect_set("source")).alias("sources"), F.count("*").alias("presences"))
+    per = p.select("source", F.element_at("ks", 1).alias("node"), "n").join(rooted, "node").groupBy("root").agg(F.sort_array(F.collect_set("source")).alias("sources"), F.sum("n").alias("presences"))
     cutoff = lambda prefix: F.transform(F.filter("identity_keys", lambda k: k.startswith(prefix)), lambda k: F.substring(k, len(prefix) + 1, 1000))
     return people.join(per, "root", "left").select("person_key", "identity_keys", cutoff("email:").alias("emails"), cutoff("phone:").alias("phones"), "sources", "presences")
 

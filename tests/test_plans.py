@@ -131,3 +131,14 @@ def test_people_from_keys(spark):
         "chat:a": (["chat:a", "chat:b"], 2),
         "crm:9": (["crm:9"], 1),
     }
+
+
+def test_second_addresses_of_one_number_tie_nobody(spark, tmp_path):
+    """Events beyond a million: signups of different users end in one number."""
+    rows = [(i + 1_000_000 * j, 10 * j + i % 3, "signup" if i % 2 == 0 else "view") for i in range(8) for j in range(3)] + [(2_000_006, 0, "signup")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    df, rel = catalog.queries()["people_clusters"](spark, str(tmp_path)), con.sql(catalog.oracle_sql()["people_clusters"])
+    got = told(df.columns, df.collect())
+    assert got == told(rel.columns, rel.fetchall()) and len(got[1]) == 9
