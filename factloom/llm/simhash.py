@@ -25,7 +25,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.tables import hinted, portions
@@ -64,7 +64,11 @@ def majority(bits: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str | None, k: int) -> int:
     """64 bits as a signed number; zero without words."""
-    raw = shingle_hashes(text, k)
+    return majority_bits(shingle_hashes(text, k))
+
+
+def majority_bits(raw: bytes) -> int:
+    """The fingerprint of joined shingle hashes."""
     if not raw:
         return 0
     step, total, n = 8 * 1_000_000, np.zeros(64, np.int64), len(raw) // 8
@@ -283,6 +287,15 @@ def near_components(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_co
     """
     base = cut(fingerprints(docs, k, id_col, text_col))
     distinct = cut(base.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    tied = connected_components(fingerprint_links(distinct))
+    rooted = distinct.join(tied.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classes = rooted.join(ids, "root").select("fp", "component_id")
+    return base.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def fingerprint_links(distinct: DataFrame) -> DataFrame:
+    """(a, b): fingerprints (fp, each once) tied by links at RADIUS or fewer differing bits."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,11 +308,7 @@ def near_components(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_co
                     yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.zeros(len(i), np.int32)), pa.array(role), pa.array(some[i]), raw], names=["cell", "part", "role", "id", "fp"])
 
     points = distinct.select("fp").mapInArrow(cells, "cell long, part int, role byte, id long, fp binary")
-    tied = connected_components(grid_links(points, RADIUS, 1))
-    rooted = distinct.join(tied.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(ids, "root").select("fp", "component_id")
-    return base.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grid_links(points, RADIUS, 1)
 
 
 # --- near copies at a shingle similarity ------------------------------------
@@ -315,7 +324,11 @@ SAMPLE, COMMON = 4000, 200_000
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """The distinct shingle hashes, ascending."""
-    return np.unique(np.frombuffer(shingle_hashes(text, k), ">u8").astype(np.int64))
+    return _distinct(shingle_hashes(text, k))
+
+
+def _distinct(raw: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(raw, ">u8").astype(np.int64))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -354,9 +367,12 @@ def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: in
     """doc_id, component_id per row: documents whose sets of k-word shingles have a
     Jaccard similarity of `similar` or more, and groups of these.
 
-    Candidates are complete: sets of this similarity share so many members that, in any
-    one order of all shingles, they share one of the first n - least_shared(n) + 1 of
-    each. The order puts common shingles last. A candidate whose segment counts differ
+    First the texts' SimHash fingerprints are linked on the segment-popcount grid, and
+    what a link ties is verified on the whole sets: fingerprints within RADIUS bits find
+    copies with few changes. At a similarity of 0.8 they may differ in ten bits or more,
+    so candidates among what is not tied yet are completed: sets of this similarity share
+    so many members that, in any one order of all shingles, they share one of the first
+    n - least_shared(n) + 1 of each. The order puts common shingles last. A candidate whose segment counts differ
     by more than two sets of this similarity can is refused; each other pair that ties
     two documents is verified on their whole sets. So that a crowd of near copies does not become all its
     pairs, holders of a shingle are first compared with its least and its greatest holder,
@@ -374,11 +390,13 @@ def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: in
         known, rank = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                ids, n, counts, keys = [], [], [], []
+                ids, n, fps, counts, keys = [], [], [], [], []
                 for t in (t for part in portions(batch.slice(at, 500), 1) for t in part.column(1).to_pylist()):
-                    s = shingle_set(t, k)
+                    raw = shingle_hashes(t, k)
+                    s = _distinct(raw)
                     ids.append(set_id(s))
                     n.append(len(s))
+                    fps.append(majority_bits(raw))
                     counts.append(segment_counts(s))
                     first = len(s) - least_shared(len(s), similar) + 1
                     if len(known) and len(s):
@@ -387,16 +405,26 @@ def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: in
                     keys.append(s[:first])
                 offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), batch.column(2).slice(at, 500), pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(counts, pa.binary()), lists], names=["doc_id", "text_hash", "id", "n", "counts", "keys"])
-
-    base = cut(d.mapInArrow(prints, "doc_id long, text_hash long, id long, n int, counts binary, keys array<long>"))
-    rows = base.select("id", "n", F.explode("keys").alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
-    held = cut(rows.join(hinted(shared, limit), "key").select("key", "id", "n", "low", "high").distinct())
-    star = cut(
-        held.select("id", F.explode(F.array("low", "high")).alias("end")).where("id <> end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
-    )
-    links = _similar_sets(star, base, d, k, similar)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), batch.column(2).slice(at, 500), pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(fps, pa.int64()), pa.array(counts, pa.binary()), lists], names=["doc_id", "text_hash", "id", "n", "fp", "counts", "keys"])
+
+    base = cut(d.mapInArrow(prints, "doc_id long, text_hash long, id long, n int, fp long, counts binary, keys array<long>"))
+    by_print = _linked_prints(base)
+    links = _similar_sets(by_print, base, d, k, similar)
+    tied = cut(connected_components(links))
+    # one row of each set: the others of sets that come again are told by their place
+    placed = base.select("id", "n", "keys", F.monotonically_increasing_id().alias("row"))
+    again = placed.groupBy("id").agg(F.min("row").alias("first"), F.count("*").alias("times")).where("times > 1").select("id", "first")
+    once = placed.join(hinted(cut(again), limit), "id", "left").where("first is null or row = first")
+    rows = once.select("id", "n", F.explode("keys").alias("key"))
+    # a key's holders meet in one shuffle: its least and greatest are told by a window beside them
+    key = Window.partitionBy("key")
+    held = rows.select("key", "id", "n", F.min("id").over(key).alias("low"), F.max("id").over(key).alias("high"))
+    held = cut(held.where("low < high"))
+    star = held.select("id", F.explode(F.array("low", "high")).alias("end")).where("id <> end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
+    of = lambda e: hinted(tied.select(F.col("node").alias(e), F.col("root").alias(f"root_{e}")), limit)
+    apart = F.col("root_a").isNull() | F.col("root_b").isNull() | (F.col("root_a") != F.col("root_b"))
+    star = cut(star.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b").join(by_print, ["a", "b"], "left_anti"))
+    links = links.unionByName(_similar_sets(star, base, d, k, similar))
     group = connected_components(links)
     rooted = held.join(hinted(group.select(F.col("node").alias("id"), "root")), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
@@ -404,7 +432,7 @@ def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: in
     x, y = rooted.alias("x"), rooted.alias("y")
     fits = F.least("x.n", "y.n") >= similar * F.greatest("x.n", "y.n") - 1e-9
     rest = x.join(y, "key").where((F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & fits)
-    rest = cut(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    rest = cut(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star.unionByName(by_print), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         group = connected_components(links.unionByName(_similar_sets(rest, base, d, k, similar)))
     distinct = base.groupBy("id").agg(F.min("doc_id").alias("least_id"))
@@ -414,6 +442,17 @@ def near_groups(docs: DataFrame, k: int = K, similar: float = SIMILAR, limit: in
     return base.join(classes, "id").select("doc_id", *(["text_hash"] if carried else []), "component_id")
 
 
+def _linked_prints(base: DataFrame) -> DataFrame:
+    """(a, b of set ids, a < b) tied by SimHash: sets of one fingerprint by its least set, and
+    the least sets of linked fingerprints."""
+    sets = cut(base.select("id", "fp").distinct())
+    least = cut(sets.groupBy("fp").agg(F.min("id").alias("low")))
+    same = sets.join(least, "fp").select(F.col("id").alias("x"), F.col("low").alias("y"))
+    of = lambda e: least.select(F.col("fp").alias(e), F.col("low").alias(f"low_{e}"))
+    near_ = fingerprint_links(least).join(of("a"), "a").join(of("b"), "b").select(F.col("low_a").alias("x"), F.col("low_b").alias("y"))
+    return cut(same.unionByName(near_).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
 def _similar_sets(pairs: DataFrame, base: DataFrame, docs: DataFrame, k: int, similar: float) -> DataFrame:
     """Of the pairs (a, b of set ids) those whose whole sets have the similarity. Sets
     are made again from the documents of these alone."""

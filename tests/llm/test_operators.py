@@ -331,6 +331,23 @@ def test_near_groups_are_exact_around_the_bound(spark):
     assert all(group[2 * i] == 2 * i for i in range(150))
 
 
+def test_near_groups_link_fingerprints_first(spark, monkeypatch):
+    """Copies with one changed word are tied by SimHash on the grid; others by their shingles."""
+    rng = np.random.default_rng(31)
+    rows = []
+    for i in range(20):
+        t = [f"v{int(x)}" for x in rng.integers(0, 3000, 400)]
+        rows += [(3 * i, " ".join(t)), (3 * i + 1, " ".join(t[:-1] + ["other"])), (3 * i + 2, " ".join(t[:370] + [f"n{int(x)}" for x in rng.integers(0, 3000, 20)]))]
+    links, tied = simhash.fingerprint_links, []
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda prints: tied.append(links(prints)) or tied[-1])
+    group = {r.doc_id: r.component_id for r in simhash.near_groups(frame(spark, rows)).collect()}
+    assert group == {d: d // 3 * 3 for d, _ in rows}
+    prints = {simhash.fingerprint(t, simhash.K): d for d, t in rows}
+    found = {frozenset((prints[r.a] // 3, prints[r.b] // 3)) for r in tied[0].collect()}
+    near = {frozenset((prints[p] // 3, prints[q] // 3)) for p in prints for q in prints if p < q and ((p ^ q) & (2**64 - 1)).bit_count() <= simhash.RADIUS}
+    assert len(tied) == 1 and found == near and all(len(f) == 1 for f in found) and found
+
+
 def test_without_near_copies(spark):
     rows = odd_rows() + [(500 + i, "one and the same text of a number of words " * 3) for i in range(40)] + [(3, "dup id"), (400, "nothing like the other"), (400, "another text of this id"), (400, "another text of this id")]
     df = frame(spark, rows)
