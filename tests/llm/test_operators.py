@@ -501,6 +501,21 @@ def test_cross_entropy_tells_words_of_any_script(spark):
     assert max(got[i] for i in range(1, 40, 2)) < min(got[i] for i in range(0, 40, 2))
 
 
+def test_lines_of_a_crowded_block_meet_in_their_length_class(spark):
+    """Near lines of lengths on both sides of a class's end; lengths at the bound itself."""
+    rows = [(n, n, 0, float(m)) for n, m in enumerate([9, 10, 1, 1, 90, 100, 99, 110, 899, 999, 45, 50])]
+    forms = spark.createDataFrame([(0, 0, 0, n, n, int(m)) for n, _, _, m in rows], "key long, rest long, top int, sim long, h long, n_chars int")
+    keys = {}
+    for r in line_dedup._lengths(forms).collect():
+        keys.setdefault(r.h, set()).add(r.key)
+    for a, _, _, m in rows:
+        for b, _, _, n in rows:
+            if abs(m - n) <= 0.1 * max(m, n) + 1e-9:
+                assert keys[a] & keys[b]
+            elif max(m, n) > 1.4 * min(m, n):
+                assert not keys[a] & keys[b]
+
+
 # the pipeline ----------------------------------------------------------------
 
 
