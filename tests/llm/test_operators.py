@@ -400,6 +400,20 @@ def test_top_k_against_all_pairs(spark, seed, n, dim, leaf, monkeypatch):
     assert Counter(map(tuple, got.collect())) == plain_top(rows, 5, 50)
 
 
+def test_top_k_sends_no_partition_of_routing_vectors_to_the_driver(spark):
+    """Each of 64 partitions may not send its own sample; copies alone give one vector."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(64)
+    data = metric_tree.quantised(df).cache()
+    assert data.count() == 6000
+    some = metric_tree.routing_sample(data, 6000, 100)
+    assert 90 <= len({tuple(v) for v in some}) == len(some) <= 100
+    same = spark.createDataFrame([(i, [0.5, 1.0]) for i in range(5000)], "vec_id long, embedding array<float>")
+    assert metric_tree.routing_sample(metric_tree.quantised(same), 5000, 10) == [[128, 256]]
+    data.unpersist()
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert metric_tree.search(df).collect() == []
