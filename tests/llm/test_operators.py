@@ -530,6 +530,52 @@ def test_lines_of_a_crowded_block_meet_in_their_length_class(spark):
                 assert not keys[a] & keys[b]
 
 
+def test_lines_meet_once_on_two_blocks(spark, monkeypatch):
+    """All pairs within three bits, each in one cell; a line is cut in cells by few bits more than 16."""
+    rng = np.random.default_rng(9)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 40)]
+    sims = base + [b ^ sum(1 << int(i) for i in rng.choice(63, int(n), replace=False)) for b in base for n in rng.integers(1, 6, 6)]
+    forms = spark.createDataFrame([(i, s, 100) for i, s in enumerate(sims)], "h long, sim long, n_chars int")
+    want = {(i, j) for i, a in enumerate(sims) for j, b in enumerate(sims) if i < j and (a ^ b).bit_count() <= 3}
+    pairs, crowded = line_dedup.candidates(forms)
+    got = [tuple(r) for r in pairs.collect()]
+    assert crowded is None and set(got) == want and len(got) == len(want) > 50
+    dealt = line_dedup._two_blocks(forms)
+    for rows in (dealt, dealt.drop("key")):  # no pair is met twice
+        assert sorted(map(tuple, line_dedup._met(rows).collect())) == sorted(want)
+    # one block of 16 bits that a table's lines share does not bring them together
+    alike = spark.createDataFrame([(i, int(x) << 16 | 7, 100) for i, x in enumerate(rng.integers(0, 1 << 47, 600))], "h long, sim long, n_chars int")
+    largest = line_dedup._two_blocks(alike).groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert largest <= line_dedup.CELL
+
+
+def test_runs_lost_are_edits_at_least():
+    """As _runs_lost counts: runs of five side by side, looked for about their place."""
+    rng = np.random.default_rng(10)
+    for _ in range(300):
+        s = "".join(rng.choice(list("abcd "), int(rng.integers(0, 90))))
+        t = list(s)
+        for _ in range(int(rng.integers(0, 9))):
+            at = int(rng.integers(0, len(t) + 1))
+            t[at : at + int(rng.integers(0, 2))] = list(rng.choice(list("abcdx"), int(rng.integers(0, 2))))
+        t, g = "".join(t), line_dedup.GRAM
+        most = edit(s, t)
+        lost = sum(s[i : i + g] not in t[max(0, i - most) : i + most + g] for i in range(0, len(s) - g + 1, g))
+        assert lost <= most
+
+
+def test_verification_in_spark_is_the_edit_similarity(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(150):
+        s = " ".join(rng.choice(["ab", "cde", "fghij", "kä", "lmnopqr"], int(rng.integers(1, 30))))
+        t = "".join(c if rng.random() > 0.1 * rng.random() * 2 else str(rng.choice(["", "x", c + "y"])) for c in s)
+        texts.append((s, t))
+    df = spark.createDataFrame(texts, "s string, t string")
+    for r in df.select("s", "t", line_dedup.similar(df.s, df.t).alias("told")).collect():
+        assert r.told == (edit(r.s, r.t) <= np.floor((1 - line_dedup.SIMILAR) * max(len(r.s), len(r.t)) + 1e-9))
+
+
 # the pipeline ----------------------------------------------------------------
 
 
