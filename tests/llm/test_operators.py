@@ -13,6 +13,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from test_contracts import ODD, corpus, frame, odd_rows, words
 from tokenizers import Tokenizer
 
@@ -576,6 +577,24 @@ def test_verification_in_spark_is_the_edit_similarity(spark):
         assert r.told == (edit(r.s, r.t) <= np.floor((1 - line_dedup.SIMILAR) * max(len(r.s), len(r.t)) + 1e-9))
 
 
+def test_unlike_forms_are_counted_to_the_bound_alone(spark):
+    """Of two long forms with nothing in common neither count goes on once it is over `most`."""
+    df = spark.createDataFrame([("ab cd " * 500, "xy zw " * 500, 20)], "s string, t string, most int")
+    both = F.struct(F.split("s", " ").alias("x"), F.split("t", " ").alias("y"), F.col("most"))
+    edits, lost = df.select(line_dedup._let(both, line_dedup._edits_at_most), line_dedup._runs_lost(df.s, df.t, df.most)).first()
+    assert 20 < edits < 25 and lost == 21
+
+
+def test_only_lines_at_the_places_are_read(spark):
+    docs = frame(spark, [(1, "a\nb\nc"), (1, "d"), (None, "e\nf"), (2, None), (3, "g\nh")])
+    at = spark.createDataFrame([(10, 1, 0), (12, 1, 2), (20, None, 1), (30, 2, 0), (40, 9, 0)], "h long, doc_id long, line_no int")
+    got = line_dedup.lines_at(docs, at)
+    assert sorted(map(tuple, got.collect())) == [(10, "a"), (10, "d"), (12, "c"), (20, "f")]
+    # documents meet their places before a line of theirs is made a row
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and plan.index("Generate explode") < plan.index("Join Inner")
+
+
 # the pipeline ----------------------------------------------------------------
 
 
