@@ -194,6 +194,19 @@ def test_line_dedup_of_a_very_long_line(spark):
     assert got == {1: line, 2: "one here", 3: ""}
 
 
+def test_line_dedup_of_a_line_whose_lanes_would_overflow(spark):
+    line = " ".join(words(np.random.default_rng(4), 70_000))
+    got = line_dedup.fingerprints(frame(spark, [(1, line), (2, "same " * 70_000 + "\none here")]))
+    want = {(1, 0): sim64(normal(line)[0]), (2, 0): xxhash.xxh64_intdigest(b"same", 42), (2, 1): sim64(["one", "here"])}
+    assert {(r.doc_id, r.line_no): r.sim % (1 << 64) for r in got.collect()} == want
+
+
+def test_line_dedup_reads_texts_without_long_lines_once(spark, tmp_path):
+    frame(spark, [(i, f"line number {i}\nand more of it") for i in range(20)]).write.parquet(str(tmp_path / "d"))
+    found = line_dedup.fingerprints(spark.read.parquet(str(tmp_path / "d")))
+    assert found.count() == 40 and "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("cell", [1, 256])
 def test_line_dedup_of_crowded_blocks(spark, cell, monkeypatch):
     monkeypatch.setattr(line_dedup, "CELL", cell)
